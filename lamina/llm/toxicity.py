@@ -113,15 +113,18 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model | Non
         return None
     rng = np.random.default_rng(SEED)
     data, off = tk.buffers(pa.array(texts, pa.large_string()))
-    row, parts = subwords(data, off)
-    n_words, n = len(row), len(texts)
-    word = np.concatenate([w for w, _ in parts]).astype(np.int32)
-    bucket = np.concatenate([b for _, b in parts]).astype(np.int32)
-    order = np.argsort(word, kind="stable")
-    bucket, word = bucket[order], word[order]
-    del parts
-    begin = np.searchsorted(word, np.arange(n_words + 1))
-    share = np.diff(begin)
+    n = len(texts)
+    rows, buckets, shares = [], [], []
+    for a, _, d, o in tk.chunks(data, off, 1 << 19):
+        r, parts = subwords(d, o)
+        word = np.concatenate([w for w, _ in parts])
+        order = np.argsort(word, kind="stable")
+        rows.append(r + a)
+        buckets.append(np.concatenate([b for _, b in parts])[order].astype(np.int32))
+        shares.append(np.bincount(word, minlength=len(r)))
+    row, bucket, share = np.concatenate(rows), np.concatenate(buckets), np.concatenate(shares)
+    del rows, buckets, shares, data
+    begin = np.concatenate([[0], np.cumsum(share)])
     y = np.array(toxic, np.int64)
     emb = np.zeros((BUCKETS, WIDTH), np.float32)
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
@@ -152,10 +155,6 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model | Non
             for k in range(0, len(chosen), BATCH):
                 _step(np.array(chosen[k : k + BATCH]), at, size, owner, begin, share, bucket, y, weight, emb, soft, bias, seen_e, seen_s, seen_b)
     worth = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-    # subwords that the sample doesn't have say nothing
-    known = np.zeros(BUCKETS, bool)
-    known[bucket] = True
-    worth[~known] = 0
     return Model(worth, float(bias[1] - bias[0]))
 
 
