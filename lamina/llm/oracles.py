@@ -32,3 +32,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, coalesce(spans, '') AS spans
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
 """
+
+
+def op6() -> str:
+    from lamina.llm import licenses
+
+    rows = ", ".join("('{}', [{}])".format(k, ", ".join(f"'{x}'" for x in licenses.bigrams(t))) for k, t in sorted(licenses.TEMPLATES.items()))
+    low = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    return rf"""
+WITH template(name, t) AS (VALUES {rows}
+), unit AS (
+  SELECT doc_id, 0 AS unit, coalesce(text, '') AS u FROM documents UNION ALL
+  SELECT doc_id, unnest(generate_series(1, len(l))) AS unit, unnest(l) AS u FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), word AS (
+  SELECT doc_id, unit, string_split(trim(regexp_replace(translate(u, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM unit
+), gram AS (
+  SELECT doc_id, unit, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM word WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, unit, name, len(list_intersect(list_distinct(g), t)) * 2e0 / (len(g) + len(t)) AS dice
+  FROM gram JOIN template ON len(g) >= len(t) * {low!r} - 1e-9 AND len(g) <= len(t) / {low!r} + 1e-9
+), best AS (
+  SELECT doc_id, unit, name, dice FROM scored WHERE dice >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, name) = 1
+), per AS (
+  SELECT doc_id, count(*) AS n_units, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice,
+         string_agg(CAST(unit AS VARCHAR) || ':' || name, ',' ORDER BY unit) AS matches
+  FROM best GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, license, dice, coalesce(matches, '') AS matches FROM documents LEFT JOIN per USING (doc_id)
+"""

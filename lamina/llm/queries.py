@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import ann, bpe, decontam, langid, oracles, secrets, toxicity
+from lamina.llm import ann, bpe, decontam, langid, licenses, oracles, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op4_bpe, op5_toxicity, op7_secrets, op9_nearest, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language, op4_bpe, op5_toxicity, op6_licenses, op7_secrets, op9_nearest, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": oracles.OP10}
+    return {"op6_licenses": oracles.op6(), "op10_decontaminate": oracles.OP10}
