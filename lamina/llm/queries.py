@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import ann, bpe, decontam, jaccard, langid, licenses, oracles, secrets, toxicity
+from lamina.llm import ann, bpe, decontam, jaccard, langid, licenses, oracles, pii, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_jaccard, op4_bpe, op5_toxicity, op6_licenses, op7_secrets, op9_nearest, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language, op2_pii, op3_jaccard, op4_bpe, op5_toxicity, op6_licenses, op7_secrets, op9_nearest, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
