@@ -1,15 +1,19 @@
 """N-gram Jaccard join with filters under several global token orders.
 
-Linked sets share a token of their prefixes under any total order of the tokens.  The first
-order (rare cells of a fixed-size count sketch first) is applied over the whole corpus: each
-map task links the sets that share a prefix token by a star, posts each token once, and the
-tokens' owners of all tasks meet in stars again, so no token's list is ever collected and no
-pairs are emitted.  The components of these stars are families; linked sets are in one
-family.  Within a family the exact token counts give further orders; a candidate must share
-a prefix token under each of them, the filters are intersected, and only then is the pair
-verified on whole sets.  Families of more than ``BLOCK`` sets are joined block by block.
-
-Documents with equal sets are one node (least id).  Shingles are compared by 64-bit hashes,
+Over the corpus, m global orders of the tokens are used, where order j ranks the j-th part
+of the token universe (by hash) first.  Linked sets differ in a bounded number of tokens, so
+with more orders than that their heads, all tokens of the first-ranked part, are equal under
+at least one order, and under one with a head that isn't empty.  Heads are posted by hash:
+each map task links the sets with an equal head by a star and posts each head once, and the
+owners of all tasks meet in stars again; no posting list is ever collected and no pairs are
+emitted.  The components of the stars are families; linked sets are in one family.  (Single
+prefix tokens instead of heads join a corpus into one family: common shingles percolate.)
+
+Within a family the exact token counts give further global orders.  A candidate must share a
+prefix token under each of them, the filters are intersected, and only then is a pair
+verified on the whole sets.  Families of more than ``BLOCK`` sets are joined by blocks.
+
+Documents with equal sets are one node (least id).  Shingles are compared by 52-bit hashes,
 sets are told apart by 128 bits.  Defined results: null text and text without words have an
 empty set and link with nothing; rows that repeat an id with another text count as one
 document; a null id has no say in a component's id.
@@ -17,7 +21,6 @@ document; a null id has no say in a component's id.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,42 +33,62 @@ from lamina.llm import textkit as tk
 from lamina.llm.decontam import ranges
 
 PERCENT, WORDS, BLOCK = 90, 3, 2048
-CELLS, SLICES = 1 << 20, 16
-_POST = 1_000_000
+#: Heads beyond the pigeonhole's need: so many may be empty without being posted.
+SPARE = 2
+_POST = 2_000_000
 _NULL_ID = 1 << 62
+_ROWS, _ROW_SHIFT = 1 << 12, np.uint64(52)
 
 
-def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
+def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes (52 bits) of at most 4096 rows, sorted by row and hash; where each row begins."""
     data = tk.LOWER[data]
     start, end, row = tk.words(data, off, tk.SPACED)
     h = tk.word_hashes(data, start, end)
-    count = np.bincount(row, minlength=len(off) - 1)
-    first = np.concatenate([[0], np.cumsum(count)])
-    token = h.copy()
+    rows = len(off) - 1
+    count = np.bincount(row, minlength=rows)
+    token = h
     for j in range(1, k):
-        token = tk.mix(token[: len(h) - j] * tk._ODD + h[j:]) if len(h) > j else token[:0]
-    out = []
-    for i, n in enumerate(count.tolist()):
-        a = first[i]
-        if n >= k:
-            out.append(np.unique(token[a : a + n - k + 1]))
-        elif n:
-            t = np.full(1, n, np.uint64)
-            for x in h[a : a + n]:
-                t = tk.mix(t * tk._ODD + x)
-            out.append(t)
-        else:
-            out.append(h[:0])
-    return out
-
-
-def signature(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set."""
-    with np.errstate(over="ignore"):
-        a = tk.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        b = tk.mix(s * np.uint64(0x2545F4914F6CDD1D) + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+        token = tk.mix(token[:-1] * tk._ODD + h[j:]) if len(token) > 1 else token[:0]
+    inside = row[: len(token)] == row[k - 1 :] if len(token) else np.zeros(0, bool)
+    token, owner = token[inside], row[: len(inside)][inside]
+    few = np.flatnonzero((count > 0) & (count < k))
+    if len(few):
+        # fewer words than a shingle: the whole sequence is one
+        first = np.cumsum(count) - count
+        extra = count[few].astype(np.uint64)
+        for j in range(k - 1):
+            more = count[few] > j
+            extra[more] = tk.mix(extra[more] * tk._ODD + h[first[few[more]] + j])
+        token, owner = np.concatenate([token, extra]), np.concatenate([owner, few])
+    key = np.sort((owner.astype(np.uint64) << _ROW_SHIFT) | (token >> np.uint64(12)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    key = key[new]
+    begin = np.searchsorted(key >> _ROW_SHIFT, np.arange(rows + 1, dtype=np.uint64))
+    return key & np.uint64((1 << 52) - 1), begin
+
+
+def sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums modulo 2^64 of consecutive slices."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[begin[1:]] - total[begin[:-1]]
+
+
+def signatures(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set."""
+    one = sums(tk.mix(token ^ np.uint64(0x5851F42D4C957F2D)), begin)
+    two = sums(tk.mix(token * np.uint64(0x2545F4914F6CDD1D) + np.uint64(0x14057B7EF767814F)), begin)
+    return one.view(np.int64), two.view(np.int64)
+
+
+def small_chunks(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Chunks of at most 4096 rows."""
+    for a, b, d, o in tk.chunks(data, off):
+        for x in range(a, b, _ROWS):
+            y = min(b, x + _ROWS)
+            yield x, y, d[o[x - a] : o[y - a]], o[x - a : y - a + 1] - o[x - a]
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -73,131 +96,142 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _cells(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(44)).astype(np.int64)
+def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First sizes of classes such that linked sets lie in one class or in neighbours; orders of each class.
+
+    Class c serves pairs of the classes c and c + 1: with sizes up to b, linked sets differ
+    in at most 2 b (100 - percent) / (100 + percent) tokens.
+    """
+    first = [1]
+    while first[-1] <= largest:
+        first.append(first[-1] * 100 // percent + 1)
+    first += [first[-1] * 100 // percent + 1, first[-1] * 200 // percent + 2]
+    orders = [2 * (b - 1) * (100 - percent) // (100 + percent) + 1 + SPARE for b in first[2:]]
+    return np.array(first[:-2]), np.array(orders)
+
+
+def heads(token: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the heads of each set under the orders of its own class and the class before."""
+    size = np.diff(begin)
+    if not len(token):
+        return token, np.zeros(0, np.int64)
+    first, orders = size_classes(percent, int(size.max()))
+    own = np.searchsorted(first, size, "right") - 1
+    keys, rows = [], []
+    hashed = tk.mix(token)
+    for back in (0, 1):
+        c = own - back
+        m = np.where((size > 0) & (c >= 0), orders[np.maximum(c, 0)], 0)
+        use = np.repeat(m, size)
+        at = np.cumsum(m) - m
+        part = ((hashed >> np.uint64(32)) * use.astype(np.uint64)) >> np.uint64(32)
+        slot = (np.repeat(at, size) + part.astype(np.int64))[use > 0]
+        value = tk.mix(hashed ^ np.uint64(0x94D049BB133111EB))[use > 0]
+        order = np.argsort(slot, kind="stable")
+        filled = np.bincount(slot, minlength=int(m.sum()))
+        head = sums(value[order], np.concatenate([[0], np.cumsum(filled)]))
+        owner = np.repeat(np.arange(len(m)), m)
+        place = np.arange(len(owner)) - at[owner]
+        # empty heads are posted only by the few sets that have more of them than are to spare
+        empty = np.bincount(owner[filled == 0], minlength=len(m))
+        post = (filled > 0) | (empty > SPARE)[owner]
+        key = tk.mix(head + tk.mix((np.maximum(c, 0)[owner].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)))
+        keys.append(key[post])
+        rows.append(owner[post])
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def profile(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document (doc_id, n, s1, s2), and each task's count sketch in slices."""
+    """(doc_id, n, s1, s2) of each document: its set's size and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "n", "s1", "s2", "slice", "cells"]
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
-            n, a1, a2 = [], [], []
-            for _, _, d, o in tk.chunks(data, off):
-                sets = shingles(d, o, k)
-                cells += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS)
-                for s in sets:
-                    x, y = signature(s)
-                    n.append(len(s))
-                    a1.append(x)
-                    a2.append(y)
-            m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a1, pa.int64()), pa.array(a2, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        part = CELLS // SLICES
-        packed = [zlib.compress(np.minimum(cells[i * part : (i + 1) * part], (1 << 32) - 1).astype(np.uint32).tobytes(), 1) for i in range(SLICES)]
-        none = pa.nulls(SLICES, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=names)
-
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, slice int, cells binary")
-
-
-def sketch_levels(profiled: DataFrame) -> np.ndarray:
-    """The logarithm of each cell's count, a byte each: CELLS bytes reach the driver at any input size."""
-
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS // SLICES, np.uint64)
-        for batch in parts:
-            for c in batch.column("cells"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
-        level = np.minimum(127, np.floor(2 * np.log2(total + np.uint64(1)))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["slice", "levels"])
-
-    rows = profiled.where("slice IS NOT NULL").select("slice", "cells").groupBy("slice").applyInArrow(add, "slice int, levels binary").collect()
-    out = np.zeros(CELLS, np.uint8)
-    for r in rows:
-        out[r.slice * (CELLS // SLICES) : (r.slice + 1) * (CELLS // SLICES)] = np.frombuffer(r.levels, np.uint8)
-    return out
-
-
-def _stars(token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (2, k) from each token's least owner to its others; the tokens and their least owners."""
-    order = np.lexsort((owner, token))
-    token, owner = token[order], owner[order]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    least = owner[new][np.cumsum(new) - 1] if len(token) else owner
-    other = least != owner
-    pairs = np.stack([owner[other], least[other]])
-    return np.unique(pairs, axis=1) if pairs.shape[1] else pairs, token[new], owner[new]
-
-
-def family_edges(docs: DataFrame, levels: np.ndarray, buckets: int, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between first signature halves that share a prefix token under the first order."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+            parts = []
+            for _, _, d, o in small_chunks(data, off):
+                token, begin = shingles(d, o, k)
+                parts.append((np.diff(begin), *signatures(token, begin)))
+            n, a, b = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n", "s1", "s2"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
+
+
+def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (2, k) from each key's least owner to its others; the keys and their least owners."""
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    least = np.minimum.reduceat(owner, first) if len(first) else owner
+    of = least[np.cumsum(new) - 1] if len(first) else owner
+    other = of != owner
+    pairs = np.stack([owner[other], of[other]])
+    return np.unique(pairs, axis=1) if pairs.shape[1] else pairs, key[new], least
+
+
+def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
+    """Edges (a, b) between first signature halves of sets with an equal head under some order."""
     shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
 
-    def emit(token: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
-        edges, token, owner = _stars(token, owner)
-        bucket = (tk.mix(token) >> shift).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        heads = np.flatnonzero(np.diff(np.concatenate([[-1], bucket[order]])))
-        tokens, owners = token[order], owner[order]
-        cut = [*heads.tolist(), len(order)]
-        packed = [np.stack([tokens[a:b].view(np.int64), owners[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+    def emit(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
+        edges, key, owner = _stars(key, owner)
+        # keys are hashes in order, so a bucket's keys lie together
+        bucket = (key >> shift).astype(np.int64)
+        cut = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]]))).tolist()
+        packed = [np.stack([key[a:b].view(np.int64), owner[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         # local edges go out in pieces under buckets of their own
+        edges = np.stack(graph.star(edges[0], edges[1]))
         mine = [edges[:, a : a + 65536].tobytes() for a in range(0, edges.shape[1], 65536)]
-        return pa.RecordBatch.from_arrays([pa.array([*bucket[order][heads].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value.astype(np.uint64) << np.uint64(57)
         seen: set[int] = set()
-        tokens, owners, held = [], [], 0
+        keys, owners, held = [], [], 0
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
-            for _, _, d, o in tk.chunks(data, off):
-                for s in shingles(d, o, k):
-                    if not len(s):
-                        continue
-                    mine = signature(s)[0]
-                    if mine in seen:
-                        continue
-                    seen.add(mine)
-                    p = prefix_length(len(s), percent)
-                    rank = level[_cells(s)] | (tk.mix(s) >> np.uint64(7))
-                    tokens.append(s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s)
-                    owners.append(np.full(len(tokens[-1]), mine))
-                    held += p
+            for _, _, d, o in small_chunks(data, off):
+                token, begin = shingles(d, o, k)
+                mine = signatures(token, begin)[0]
+                # sets that this task has posted are left out
+                fresh = np.zeros(len(mine), bool)
+                for i, x in enumerate(mine.tolist()):
+                    if x not in seen and begin[i + 1] > begin[i]:
+                        seen.add(x)
+                        fresh[i] = True
+                size = np.diff(begin)
+                token = token[np.repeat(fresh, size)]
+                mine, size = mine[fresh], size[fresh]
+                key, row = heads(token, np.concatenate([[0], np.cumsum(size)]), percent)
+                keys.append(key)
+                owners.append(mine[row])
+                held += len(key)
                 if held >= _POST:
-                    yield emit(np.concatenate(tokens), np.concatenate(owners))
-                    tokens, owners, held = [], [], 0
+                    yield emit(np.concatenate(keys), np.concatenate(owners))
+                    keys, owners, held = [], [], 0
                     if len(seen) > 500_000:
                         seen.clear()
-        if tokens:
-            yield emit(np.concatenate(tokens), np.concatenate(owners))
-
-    def meet(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(e: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+        if held:
+            yield emit(np.concatenate(keys), np.concatenate(owners))
 
-        token, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def meet(bucket: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
         found: list[np.ndarray] = []
         for batch in parts:
             bodies = [np.frombuffer(b.as_py(), np.int64).reshape(2, -1) for b in batch.column("body")]
-            if key[0].as_py() < 0:
+            if bucket[0].as_py() < 0:
                 found += bodies
                 continue
-            edges, token, owner = _stars(np.concatenate([token, *(b[0] for b in bodies)]), np.concatenate([owner, *(b[1] for b in bodies)]))
+            edges, key, owner = _stars(np.concatenate([key, *(b[0] for b in bodies)]), np.concatenate([owner, *(b[1] for b in bodies)]))
             if edges.shape[1]:
                 found.append(edges)
         if found:
             e = np.concatenate(found, 1)
-            yield out(np.stack(graph.star(e[0], e[1])))
+            a, b = graph.star(e[0], e[1])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    posted = docs.mapInArrow(run, "bucket bigint, body binary")
-    return posted.groupBy("bucket").applyInArrow(meet, graph.EDGES)
+    return docs.mapInArrow(run, "bucket bigint, body binary").groupBy("bucket").applyInArrow(meet, graph.EDGES)
 
 
 def link_family(sets: list[np.ndarray], part: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
@@ -284,10 +318,14 @@ def _family_links(k: int, percent: int):
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "blocks")), strict=True))
             node, block = batch.column("node").to_pylist(), batch.column("block").to_pylist()
             s1, s2 = batch.column("s1").to_pylist(), batch.column("s2").to_pylist()
-            for first, end, d, o in tk.chunks(data, off):
-                for x, s in zip(range(first, end), shingles(d, o, k), strict=True):
-                    if signature(s) != (s1[x], s2[x]):
+            for first, end, d, o in small_chunks(data, off):
+                token, begin = shingles(d, o, k)
+                one, two = signatures(token, begin)
+                for x in range(first, end):
+                    y = x - first
+                    if (one[y], two[y]) != (s1[x], s2[x]):
                         continue  # a row that repeats the id with another text
+                    s = token[begin[y] : begin[y + 1]]
                     if keys[x] != key:
                         close()
                         key, sets, nodes, part = keys[x], [], [], []
@@ -304,13 +342,12 @@ def _family_links(k: int, percent: int):
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for links of at least ``percent`` Jaccard."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    profiled = tk.materialize(profile(texts, words))
-    rows = profiled.where("slice IS NULL").select("doc_id", "n", "s1", "s2")
+    rows = tk.materialize(profile(texts, words))
     node = F.coalesce(F.min("doc_id"), F.first("s1").bitwiseAND(F.lit(_NULL_ID - 1)).bitwiseOR(F.lit(_NULL_ID)))
     nodes = rows.where("n > 0").groupBy("s1", "s2").agg(node.alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(32, int(total * (100 - percent) / 100 / _POST))
-    edges = family_edges(texts, sketch_levels(profiled), buckets, words, percent)
+    buckets = min(1 << 20, max(32, int(total * 4 * (100 - percent) / 100 / _POST)))
+    edges = family_edges(texts, buckets, words, percent)
     family = graph.components(edges)
     family = family.union(family.select("root", "root").distinct())
     members = nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family")
@@ -329,3 +366,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     joined = rows.join(own, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < _NULL_ID, F.col("root"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component: those with its least id.
+
+    Rows without an id and rows with an empty set always stay; of rows that repeat an id, all
+    or none stay.
+    """
+    found = join(docs, id_col, text_col, words, percent)
+    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, F.col(id_col).cast("bigint") == F.col("__dropped"), "left_anti")
