@@ -5,7 +5,7 @@ The units compared are the lines of a text and the text as a whole.  With n bigr
 Only templates whose size lies within the bounds that the threshold puts on n are compared.
 At least two thirds (for a threshold of 0.8) of a template's bigrams must be shared, so a
 unit must hold one of any words that touch more than a third of them; texts and lines
-without such an anchor word are ruled out exactly by one expression.  Everything is one
+without such an anchor word are ruled out exactly.  Everything is one
 projection in DataFrame expressions, without a shuffle.
 
 Defined results: null and empty text has no unit; units of fewer than two words have no
@@ -16,6 +16,7 @@ columns are passed over; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +68,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     grams = {k: g for k, g in grams.items() if g}
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = threshold / (2 - threshold)
-    anchor = "(?i)" + "|".join(sorted({w for g in grams.values() for w in anchors(g, low)})) if grams else "(?!)"
+    marks = sorted({w for g in grams.values() for w in anchors(g, low)})
+    # a word that holds another one says nothing more
+    marks = [w for w in marks if not any(x != w and x in w for x in marks)]
+
+    def anchored(u: Column) -> Column:
+        small = F.lower(u)
+        return reduce(lambda a, w: a | F.contains(small, F.lit(w)), marks, F.lit(False))
 
     def words(u: Column) -> Column:
         lower = F.translate(u, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,10 +96,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return F.aggregate(scores, F.lit(None).cast("struct<dice:double,name:string>"), lambda a, s: F.when(s.isNotNull() & (s["dice"] >= threshold) & (a.isNull() | (s["dice"] > a["dice"])), s).otherwise(a))
 
     units = F.transform(F.concat(F.array(text), F.split(text, "\n", -1)), lambda u, i: F.struct(i.alias("unit"), u.alias("u")))
-    units = F.filter(units, lambda x: x["u"].rlike(anchor))
+    units = F.filter(units, lambda x: anchored(x["u"]))
     units = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), pairs(words(x["u"])).alias("g")))
     scored = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), best(x["g"]).alias("b")))
-    kept = F.when(text.rlike(anchor), F.filter(scored, lambda x: x["b"].isNotNull()))
+    kept = F.when(anchored(text), F.filter(scored, lambda x: x["b"].isNotNull()))
     none = F.array().cast("array<struct<unit:int,b:struct<dice:double,name:string>>>")
     found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(kept, none).alias("m"))
     top = F.aggregate("m", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["b"]["dice"] > a["dice"]) | ((x["b"]["dice"] == a["dice"]) & (x["b"]["name"] < a["name"])), x["b"]).otherwise(a))
