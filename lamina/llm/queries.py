@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import ann, bpe, decontam, jaccard, langid, licenses, oracles, pii, secrets, toxicity
+from lamina.llm import ann, bpe, decontam, jaccard, langid, licenses, oracles, pii, sadedup, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sadedup.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -62,7 +66,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_pii, op3_jaccard, op4_bpe, op5_toxicity, op6_licenses, op7_secrets, op9_nearest, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language, op2_pii, op3_jaccard, op4_bpe, op5_toxicity, op6_licenses, op7_secrets, op8_suffix_dedup, op9_nearest, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
