@@ -371,9 +371,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are the first of their component: those with its least id.
 
-    Rows without an id and rows with an empty set always stay; of rows that repeat an id, all
-    or none stay.
+    Rows without an id and rows with an empty set always stay, but of rows that repeat id and
+    text one stays; of rows that repeat an id with other texts, all or none stay.
     """
-    found = join(docs, id_col, text_col, words, percent)
-    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).cast("bigint") == F.col("__dropped"), "left_anti")
+    found = tk.materialize(join(docs, id_col, text_col, words, percent))
+    gone, = tk.unused(docs, "gone")
+    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(dropped, F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
+    # rows that repeat id and text are copies of each other, too
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone))
+    if again.isEmpty():
+        return kept
+    test = F.col(id_col).cast("bigint") == F.col(gone)
+    return kept.join(again, test, "left_anti").unionByName(kept.join(again, test, "left_semi").dropDuplicates([id_col, text_col]))

@@ -126,22 +126,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     The columns are those of ``docs``; n_chars, if there is one, follows the text.
     """
     found = tk.materialize(candidates(docs, id_col, text_col, owner_col, repo_cols))
-    live = spans(found, max_owners).where("live").groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__s"))
+    d, k, s, i, key = tk.unused(docs, "d", "k", "s", "i", "key")
+    live = spans(found, max_owners).where("live").groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(s))
     t = F.col(text_col)
-    keyed = docs.withColumn("__id", F.col(id_col).cast("bigint")).withColumn("__key", F.xxhash64(F.col(id_col), F.coalesce(t, F.lit(""))))
-    joined = keyed.join(live, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
+    keyed = docs.withColumn(i, F.col(id_col).cast("bigint")).withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(t, F.lit(""))))
+    joined = keyed.join(live, F.col(i).eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
-        "__s", state,
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
+        s, state,
+        lambda a, x: F.struct(
+            F.greatest(a["at"], x["end"]).alias("at"),
+            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).alias("out"),
         ),
         lambda a: F.concat(a["out"], t.substr((a["at"] + 1).cast("int"), F.length(t))),
     )
-    clean = F.when(F.col("__s").isNull(), t).otherwise(cut)
+    clean = F.when(F.col(s).isNull(), t).otherwise(cut)
     out = joined.withColumn(text_col, clean)
     if "n_chars" in docs.columns:
-        size = F.when(F.col("__s").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType)
+        size = F.when(F.col(s).isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", size)
     return out.select(*docs.columns)

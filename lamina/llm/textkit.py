@@ -139,3 +139,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` doesn't have."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in have:
+            n = f"_{n}"
+        have.add(n)
+        out.append(n)
+    return out
