@@ -25,7 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
+from lamina.llm import textkit as tk
+
+BLOCK_BYTES = 6 << 20
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -203,6 +205,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     (doc_id, n_tokens, ids array<int>, decoded string).  No shuffle: one pass in Arrow batches.
     """
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
 
@@ -236,4 +239,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield flush(ids, texts)
 
     schema = SCHEMA if digest else "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

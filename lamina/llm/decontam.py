@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lamina.llm import textkit as tk
 
 WINDOW = 13
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Benchmark text of one pattern block; a larger benchmark is searched block by block.
 BLOCK_BYTES = 16 << 20
 SAMPLE = 8
@@ -233,7 +233,7 @@ def hits(windows: Windows, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray
 
 
 def run_hashes(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    up, down = tk._powers(max(22, int(len(flat)).bit_length()))
+    up, down = tk.powers(len(flat))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(flat.astype(np.uint64)) * up[: len(flat)])])
     return tk.mix((sums[begin + size] - sums[begin]) * down[begin] + size.astype(np.uint64))
 
@@ -260,9 +260,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     blocks = _pattern_blocks(benchmark, id_col=item_col, text_col=item_text_col, window=window)
     columns = docs.columns if clean else ["doc_id", "text"]
+    tk.bounded(docs)
     source = docs if clean else docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     text_at = columns.index(text_col if clean else "text")
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = [Windows(b.value, window) for b in blocks]
 

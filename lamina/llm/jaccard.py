@@ -35,7 +35,7 @@ from lamina.llm.decontam import ranges
 PERCENT, WORDS, BLOCK = 90, 3, 2048
 #: Heads beyond the pigeonhole's need: so many may be empty without being posted.
 SPARE = 2
-_POST = 2_000_000
+_POST = 1_000_000
 _NULL_ID = 1 << 62
 _ROWS, _ROW_SHIFT = 1 << 12, np.uint64(52)
 
@@ -144,6 +144,7 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarra
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, s1, s2) of each document: its set's size and signature."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
@@ -186,6 +187,7 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
         mine = [edges[:, a : a + 65536].tobytes() for a in range(0, edges.shape[1], 65536)]
         return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, owners, held = [], [], 0
@@ -215,6 +217,7 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
         if held:
             yield emit(np.concatenate(keys), np.concatenate(owners))
 
+    @tk.tidy
     def meet(bucket: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
         found: list[np.ndarray] = []
@@ -289,6 +292,7 @@ def link_family(sets: list[np.ndarray], part: np.ndarray | None = None, percent:
 def _family_links(k: int, percent: int):
     """Streams groups of (family, i, j), sorted; emits (node, root, blocks) stars."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets, nodes, part = None, [], [], []
         a, b, big = [], [], []
@@ -341,7 +345,7 @@ def _family_links(k: int, percent: int):
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for links of at least ``percent`` Jaccard."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = tk.materialize(profile(texts, words))
     node = F.coalesce(F.min("doc_id"), F.first("s1").bitwiseAND(F.lit(_NULL_ID - 1)).bitwiseOR(F.lit(_NULL_ID)))
     nodes = rows.where("n > 0").groupBy("s1", "s2").agg(node.alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))

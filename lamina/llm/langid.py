@@ -146,6 +146,7 @@ def predictor(docs: DataFrame, model: Model | None, text_at: int, finish):
     """mapInArrow over ``docs``: ``finish(batch, langs, scores)`` makes the result of each batch."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -178,7 +179,7 @@ def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     run = predictor(docs, model, 1, lambda b, langs, score: pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]))
     return texts.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
@@ -186,4 +187,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language; the others are rejected."""
     run = predictor(docs, model, docs.columns.index(text_col), lambda b, langs, _: b.filter(pa.array(langs != UNKNOWN)))
-    return docs.mapInArrow(run, docs.schema)
+    return tk.bounded(docs).mapInArrow(run, docs.schema)

@@ -122,6 +122,7 @@ def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int,
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each document: base results, and candidates (kind or -1, start, end, pattern, instance)."""
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64())]))
         key = lambda s: int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
@@ -144,7 +145,7 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             count = lambda k: pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(count, range(4)), pa.array(told), pa.array(found, kind_type)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "found"])
 
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:int,start:bigint,end:bigint,pattern:bigint,instance:bigint>>")
 
 

@@ -38,14 +38,14 @@ CELLS, SLICES = 1 << 20, 16
 #: One k-gram in so many (by hash) is counted and preferred as an anchor.
 EVERY = 16
 SHARD_BYTES = 1_500_000
-_POST = 1_000_000
+_POST = 500_000
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k-gram of the bytes."""
     if len(data) < k:
         return np.zeros(0, np.uint64)
-    up, down = tk._powers(max(22, int(len(data)).bit_length()))
+    up, down = tk.powers(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(tk._byte_values()[data] * up[: len(data)], out=total[1:])
@@ -61,6 +61,7 @@ def _inside(off: np.ndarray, length: int) -> np.ndarray:
 def sketch(texts: DataFrame, k: int) -> np.ndarray:
     """Logarithms of the sampled k-grams' counts: CELLS bytes reach the driver at any input size."""
 
+    @tk.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
@@ -74,6 +75,7 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
         packed = [zlib.compress(np.minimum(cells[i * part : (i + 1) * part], (1 << 32) - 1).astype(np.uint32).tobytes(), 1) for i in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "cells"])
 
+    @tk.tidy
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS // SLICES, np.uint64)
         for batch in parts:
@@ -150,6 +152,7 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
         mine = [found[:, a : a + 65536].tobytes() for a in range(0, found.shape[1], 65536)]
         return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         held: list[tuple] = []
@@ -173,6 +176,7 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
         if held:
             yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
+    @tk.tidy
     def meet(bucket: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         direct = bucket[0].as_py() < 0
         bodies = []
@@ -198,6 +202,7 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
     """(h1, a, b) of byte ranges whose windows repeat; ``chosen`` has h1, text and the pieces' starts ``los``."""
     shared = chosen.sparkSession.sparkContext.broadcast(levels)
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
 
@@ -234,12 +239,13 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
                     if fresh[r] and p in wanted[r]:
                         held.append((s, texts[a + r], p, d[x : y + size].tobytes()))
                         total += y + size - x
-                if total > 16_000_000:
+                if total > 8_000_000:
                     yield emit(held)
                     held, total = [], 0
         if held:
             yield emit(held)
 
+    @tk.tidy
     def search(shard: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = lambda h, a, b: pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["h1", "a", "b"])
         if shard[0].as_py() < 0:
@@ -304,7 +310,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), t.alias("text"), F.xxhash64(F.lit(1), t).alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"))
+    texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), t.alias("text"), F.xxhash64(F.lit(1), t).alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"))
     rows = tk.materialize(texts.select("doc_id", "h1", "h2", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")))
     long = texts.where(F.octet_length("text") >= size)
     levels = sketch(long, gram)

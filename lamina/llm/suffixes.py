@@ -124,7 +124,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     order = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], symbols)
     order = order[first[order]]
     # equal leftmost-smaller substrings get equal names; they are told apart by their hash
-    up, down = tk._powers(max(22, int(len(t) + 1).bit_length()))
+    up, down = tk.powers(len(t))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(t.astype(np.uint64) + np.uint64(1)) * up[: len(t)])])
     stop = np.append(lms[1:], lms[-1]) + 1
     content = (sums[stop] - sums[lms]) * down[lms] + tk.mix((stop - lms).astype(np.uint64))

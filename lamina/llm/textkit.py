@@ -6,15 +6,17 @@ bounded whatever the batch size; a single longer text forms a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -81,7 +83,7 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
-@cache
+@lru_cache(maxsize=2)
 def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd multiplier and of its inverse modulo 2^64."""
     out = []
@@ -92,6 +94,11 @@ def _powers(log_size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``size`` powers of the odd multiplier and of its inverse modulo 2^64."""
+    return _powers(max(21, size.bit_length()))
+
+
 @cache
 def _byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -111,13 +118,49 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """A 64-bit hash of each slice of ``data``, from prefix sums of a polynomial modulo 2^64."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _powers(max(22, int(len(data)).bit_length()))
+    up, down = powers(len(data))
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_byte_values()[data] * up[: len(data)], out=sums[1:])
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
 
 
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that gives free memory back at its end: Python workers serve many tasks."""
+
+    def release() -> None:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    # Spark counts the parameters, so each form keeps its own
+    @wraps(run)
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    @wraps(run)
+    def over_group(key, batches):
+        try:
+            yield from run(key, batches)
+        finally:
+            release()
+
+    return over_batches if run.__code__.co_argcount == 1 else over_group
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches bounded in bytes where the session still has Spark's own bound."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64m", "64MB"):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
     sc = spark.sparkContext

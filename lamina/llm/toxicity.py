@@ -215,6 +215,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """(doc_id, score) of every whole text; one pass in Arrow batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -224,4 +225,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 out[a:b] = m.scores(d, o)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    return tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double")
