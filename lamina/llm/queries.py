@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_licenses": oracles.op6(), "op10_decontaminate": oracles.OP10}
+    return {"op3_jaccard": oracles.OP3, "op6_licenses": oracles.op6(), "op7_secrets": oracles.op7(), "op10_decontaminate": oracles.OP10}

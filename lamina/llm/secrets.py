@@ -80,7 +80,7 @@ def spans(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         | ((F.col("kind") == "hex") & (F.col("size") >= 32))
         | ((F.col("kind") == "bare") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     ).withColumn("hash", F.sha2("value", 256))
-    looks = (F.size(F.array_distinct(F.split("value", ""))) >= MIN_DISTINCT) & ~F.col("value").rlike(EXAMPLE)
+    looks = (F.size(F.array_distinct(F.filter(F.split("value", ""), lambda c: c != ""))) >= MIN_DISTINCT) & ~F.col("value").rlike(EXAMPLE)
     pairs = rows.where(F.col("kind") != "bare").groupBy("hash", "owner", "repo").agg(F.max(looks).alias("looks"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("looks").alias("looks"))
     verdict = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("looks").alias("looks"))
