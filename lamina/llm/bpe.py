@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import textkit as tk
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,6 +51,8 @@ class Vocabulary:
         self.tokens = [""] * size
         for t, i in [*vocab.items(), *self.specials.items()]:
             self.tokens[i] = t
+        #: shared texts of ids and tokens, so that a block holds references only
+        self.id_texts, self.token_texts = (np.array(x, object) for x in (list(map(str, range(size))), self.tokens))
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -187,9 +189,8 @@ def encode_block(v: Vocabulary, texts: list[str | None]) -> tuple[list[np.ndarra
     plain = [w if w[:1] != "\0" or w[1:] not in v.specials else "" for w in number]
     ids, off = v.encode_words(plain)
     counts = np.diff(off)
-    flat, cut = ids.tolist(), off.tolist()
-    id_text = list(map(str, flat))
-    token = [v.tokens[i] for i in flat]
+    cut = off.tolist()
+    id_text, token = v.id_texts[ids].tolist(), v.token_texts[ids].tolist()
     as_ids = [" ".join(id_text[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
     as_tokens = [" ".join(token[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
     for w, k in number.items():

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lamina.llm import textkit as tk
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Benchmark text of one pattern block; a larger benchmark is searched block by block.
 BLOCK_BYTES = 16 << 20
 SAMPLE = 8
@@ -228,7 +228,7 @@ def hits(windows: Windows, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray
     hit = np.cumsum(edge[:-1]) > 0
     per = np.diff(windows.item_off)[pattern]
     item = windows.items[ranges(windows.item_off[pattern], per)]
-    pair = np.unique(np.repeat(row[start], per) * max(1, len(windows.names)) + item)
+    pair = np.unique(np.repeat(row[start], per).astype(np.int64) * max(1, len(windows.names)) + item)
     return hit, np.stack([pair // max(1, len(windows.names)), pair % max(1, len(windows.names))], 1)
 
 
@@ -277,9 +277,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 d = tk.LOWER[d]
                 s, e, r = tk.words(d, o, tk.ALNUM)
                 hashes.append(tk.word_hashes(d, s, e))
-                starts.append(s + off[a])
-                ends.append(e + off[a])
-                rows.append(r + a)
+                rows.append((r + a).astype(np.int32))
+                if clean:
+                    starts.append(s + off[a])
+                    ends.append(e + off[a])
             start, end, row, hashed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, rows, hashes))
             hit = np.zeros(len(row), bool)
             names: list[set] = [set() for _ in range(n)] if len(windows) > 1 else []

@@ -352,7 +352,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = min(1 << 20, max(32, int(total * 4 * (100 - percent) / 100 / _POST)))
     edges = family_edges(texts, buckets, words, percent)
-    family = graph.components(edges)
+    family = graph.components(edges, stars=True)
     family = family.union(family.select("root", "root").distinct())
     members = nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family")
     members = tk.materialize(members)
@@ -365,7 +365,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     links = tk.materialize(spread.mapInArrow(_family_links(words, percent), "a bigint, b bigint, big boolean"))
     roots = links.where("NOT big").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if not links.where("big").isEmpty():
-        roots = roots.union(graph.components(links.where("big").select("a", "b")))
+        roots = roots.union(graph.components(links.where("big").select("a", "b"), stars=True))
     own = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     joined = rows.join(own, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < _NULL_ID, F.col("root"))

@@ -96,7 +96,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     for a, _, d, o in tk.chunks(data, off):
         for _, code in gram_codes(d, o):
             seen[code] = True
-    column = np.full(CODES, int(seen.sum()), np.int32)
+    column = np.full(CODES, int(seen.sum()), np.uint16 if seen.sum() < 65536 else np.int32)
     column[seen] = np.arange(int(seen.sum()))
     model = Model(names, column, np.zeros((int(seen.sum()), 0), np.float32), np.zeros(0), np.zeros(0))
     rows = np.concatenate([[i for i, x in enumerate(langs) if x == name][:landmarks] for name in names]).astype(int)
