@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from lamina.llm import textkit as tk
 
-BUCKETS, WIDTH, WINDOW, GRAMS = 1 << 19, 8, 6, (3, 4, 5)
-FIT_ROWS, FIT_BYTES, EPOCHS, RATE, BATCH, SEED = 1200, 1 << 14, 16, 0.15, 32, 11
+BUCKETS, WIDTH, WINDOW, GRAMS = 1 << 19, 8, 6, (3, 4, 5, 6, 7)
+FIT_ROWS, FIT_BYTES, EPOCHS, RATE, BATCH, SEED = 1200, 1 << 14, 16, 0.05, 32, 11
+#: Smoothing of the log-odds that the embeddings begin with, and their scale.
+SMOOTH, START = 4.0, 6.0
 _EDGE = np.uint64(0xABC98388FB8FAC03)
 
 
@@ -126,9 +128,12 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model | Non
     del rows, buckets, shares, data
     begin = np.concatenate([[0], np.cumsum(share)])
     y = np.array(toxic, np.int64)
-    emb = np.zeros((BUCKETS, WIDTH), np.float32)
     soft = rng.normal(0, 0.3, (WIDTH, 2)).astype(np.float32)
     soft[:, 1] = -soft[:, 0]
+    # embeddings begin along the softmax, as far as a subword's texts are toxic more often than others
+    odds = _log_odds(row, begin, bucket, y) * START
+    gap = soft[:, 1] - soft[:, 0]
+    emb = odds[:, None].astype(np.float32) * (gap / (gap @ gap))[None, :]
     bias = np.array([1.5, -1.5])
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-4, np.float32), np.full(soft.shape, 1e-4, np.float32), np.full(2, 1e-4)
     at, size = window_starts(row, n)
@@ -158,6 +163,17 @@ def fit(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Model | Non
     return Model(worth, float(bias[1] - bias[0]))
 
 
+def _log_odds(row: np.ndarray, begin: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smoothed log-odds of the toxic class by the texts that hold each subword."""
+    held = np.zeros((2, BUCKETS))
+    first = np.searchsorted(row, np.arange(len(y) + 1))
+    for i, label in enumerate(y.tolist()):
+        held[label, np.unique(bucket[begin[first[i]] : begin[first[i + 1]]])] += 1
+    share = y.mean()
+    toxic, clean = held[1] + SMOOTH * share, held[0] + SMOOTH * (1 - share)
+    return np.where(held.sum(0) > 0, np.log(toxic / clean) - np.log(share / (1 - share)), 0)
+
+
 def _step(win, at, size, owner, begin, share, bucket, y, weight, emb, soft, bias, seen_e, seen_s, seen_b) -> None:
     """One Adagrad step on a batch of windows."""
     m = len(win)
