@@ -282,33 +282,37 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
     return chosen.select("h1", "text", "los").mapInArrow(run, "shard bigint, body binary").groupBy("shard").applyInArrow(search, "h1 bigint, a bigint, b bigint")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merged ranges are removed from the bytes of each text."""
-    for batch in batches:
-        data, off = tk.buffers(batch.column("text"))
-        removed, spans, kept = [], [], []
-        for i, found in enumerate(batch.column("found").to_pylist()):
-            raw = data[off[i] : off[i + 1]].tobytes()
-            digest, at, n, k = hashlib.sha256(), 0, 0, 0
-            end = -1
-            for r in sorted((r["a"], r["b"]) for r in found):
-                if r[0] > end:
-                    digest.update(raw[at : r[0]])
-                    k += 1
-                    n += r[1] - r[0]
-                    at = end = r[1]
-                elif r[1] > end:
-                    n += r[1] - end
-                    at = end = r[1]
-            digest.update(raw[at:])
-            removed.append(n)
-            spans.append(k)
-            kept.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["h1", "h2", "removed", "spans", "kept"])
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def _cut(digest: bool):
+    """Merged ranges are removed from the bytes of each text; what stays is told as its digest or whole."""
+
+    @tk.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = tk.buffers(batch.column("text"))
+            removed, kept = [], []
+            for i, found in enumerate(batch.column("found").to_pylist()):
+                raw, merged = data[off[i] : off[i + 1]].tobytes(), []
+                for r in sorted((r["a"], r["b"]) for r in found):
+                    if merged and r[0] <= merged[-1]["b"]:
+                        merged[-1]["b"] = max(merged[-1]["b"], r[1])
+                    else:
+                        merged.append({"a": r[0], "b": r[1]})
+                ends = [0, *(m["b"] for m in merged)]
+                rest = b"".join(raw[x:y] for x, y in zip(ends, [*(m["a"] for m in merged), len(raw)], strict=True))
+                removed.append(merged)
+                kept.append(hashlib.sha256(rest).hexdigest().encode() if digest else rest)
+            spans = pa.array(removed, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), spans, pa.array(kept, pa.binary())], names=["h1", "h2", "spans", "kept"])
+
+    return run
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, digest: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    Without ``digest``: doc_id, the removed spans (bytes, end exclusive) and the bytes that stay,
+    null where the whole text stays.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), t.alias("text"), F.xxhash64(F.lit(1), t).alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"))
     rows = tk.materialize(texts.select("doc_id", "h1", "h2", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")))
@@ -327,14 +331,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     spans = covered(chosen, levels, shards, size, gram)
     spans = spans.groupBy(F.col("h1").alias("s1")).agg(F.collect_list(F.struct("a", "b")).alias("found"))
     # texts with copies go whole, whatever was found in them
-    cut = chosen.where("copies = 1").join(spans, F.col("h1") == F.col("s1")).select("h1", "h2", "text", "found").mapInArrow(_cut, "h1 bigint, h2 bigint, removed bigint, spans bigint, kept string")
-    per = distinct.select("h1", "h2", "copies").join(cut, ["h1", "h2"], "left").where("copies > 1 OR removed IS NOT NULL")
+    cut = chosen.where("copies = 1").join(spans, F.col("h1") == F.col("s1")).select("h1", "h2", "text", "found")
+    cut = cut.mapInArrow(_cut(digest), "h1 bigint, h2 bigint, spans array<struct<a:bigint,b:bigint>>, kept binary")
+    per = distinct.select("h1", "h2", "copies").join(cut, ["h1", "h2"], "left").where("copies > 1 OR kept IS NOT NULL")
     joined = rows.join(per, ["h1", "h2"], "left")
     whole = F.col("copies") > 1
-    n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    return joined.select(
-        "doc_id", F.col("n").alias("n_bytes"),
-        F.when(whole, F.col("n")).otherwise(n(F.col("removed"))).alias("n_removed"),
-        F.when(whole, F.lit(1).cast("bigint")).otherwise(n(F.col("spans"))).alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    )
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    found = F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b")))).otherwise(F.coalesce("spans", none))
+    out = joined.withColumn("spans", found)
+    if not digest:
+        return out.select("doc_id", "spans", F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["b"] - x["a"])
+    kept = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.col("kept").cast("string"), "sha"))
+    return out.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), kept.alias("kept_sha256"))

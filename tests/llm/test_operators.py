@@ -318,6 +318,9 @@ def test_suffix_dedup(spark, size, gram):
     got = {r.doc_id: tuple(r)[1:] for r in sadedup.scan(H.docs(spark, texts).repartition(5), size=size, gram=gram).collect()}
     want = H.repeats(texts, size)
     assert {i: w for i, w in enumerate(want)} == got
+    for r in sadedup.scan(H.docs(spark, texts), size=size, gram=gram, digest=False).collect():
+        kept = bytes((texts[r.doc_id] or "").encode() if r.kept is None else r.kept)
+        assert H.sha(kept) == want[r.doc_id][3] and sum(x.b - x.a for x in r.spans) == want[r.doc_id][1]
     assert sadedup.scan(H.docs(spark, texts).limit(0)).count() == 0
 
 
