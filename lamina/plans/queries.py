@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.functions import codec
+from lamina.functions import codec, messages
 from lamina.operators import bloom, recovery, replication, tables, telemetry, versions
 from lamina.plans import adapters as A
 from lamina.streaming import tail
@@ -198,6 +198,15 @@ def frame_status(spark, sf):
     return A.telemetry(spark, sf).groupBy(codec.status_name(F.col("status_code")).alias("status")).agg(F.count("*").alias("n"))
 
 
+@_query("SELECT event_id, 21 + strlen(props) AS bytes, CAST(2 AS BIGINT) AS kind, CAST(event_id % 6 AS BIGINT) AS status, user_id AS leader, event_id % 2 = 0 AS found, props AS value FROM events")
+def msg_codec(spark, sf):
+    """Answers to gets, framed and opened again."""
+    fields = {"status": F.col("event_id") % 6, "leader": F.col("user_id"), "found": F.col("event_id") % 2 == 0, "value": F.col("props")}
+    sent = A.table(spark, sf, "events").select("event_id", messages.message("got", fields).alias("m"))
+    read = sent.withColumn("f", messages.open_frame(F.col("m"))).withColumn("d", messages.decode("got", F.col("f.payload")))
+    return read.select("event_id", F.octet_length("m").cast("bigint").alias("bytes"), F.col("f.kind").alias("kind"), F.col("d.status").alias("status"), F.col("d.leader").alias("leader"), F.col("d.found").alias("found"), F.col("d.value").cast("string").alias("value"))
+
+
 @_query("""SELECT CASE WHEN event_id % 7 = 0 THEN 'NOT_LEADER' WHEN status_code = 0 THEN 'OK' WHEN latency_ms >= 100 THEN 'TIMEOUT' ELSE 'ERROR' END AS status, count(*) AS n FROM a6_tele GROUP BY 1""")
 def proposal_status(spark, sf):
     t = A.telemetry(spark, sf)

@@ -71,18 +71,28 @@ def _decoded(files: DataFrame, ddl: str, names: list[str], rows: Callable[[str,
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
     """The records of all ``*.wal`` segments below a path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").option("recursiveFileLookup", "true").load(path)
+    return _decoded(files, schema.FRAMES, _WAL_COLUMNS, _wal_rows)
 
-    def rows(name: str, data: bytes) -> Iterator[tuple]:
-        segment = name.rsplit("/", 1)[-1]
-        for pos, payload in enumerate(records(data, 0, 0)):
-            m = mutation(payload) if payload is not None else None
-            if m is None:
-                yield segment, pos, None, None, None, None, False
-                return
-            yield segment, pos, *m, True
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").option("recursiveFileLookup", "true").load(path)
-    return _decoded(files, schema.FRAMES, ["segment", "pos", "seq", "key", "deleted", "value", "crc_ok"], rows)
+def tail_wal(spark: SparkSession, path: str, most_files: int = 64) -> DataFrame:
+    """The same as a stream over the segments of a folder; segments are closed before they appear in it."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    files = reader.option("pathGlobFilter", "*.wal").option("maxFilesPerTrigger", most_files).load(path)
+    return _decoded(files, schema.FRAMES, _WAL_COLUMNS, _wal_rows)
+
+
+_WAL_COLUMNS = ["segment", "pos", "seq", "key", "deleted", "value", "crc_ok"]
+
+
+def _wal_rows(name: str, data: bytes) -> Iterator[tuple]:
+    segment = name.rsplit("/", 1)[-1]
+    for pos, payload in enumerate(records(data, 0, 0)):
+        m = mutation(payload) if payload is not None else None
+        if m is None:
+            yield segment, pos, None, None, None, None, False
+            return
+        yield segment, pos, *m, True
 
 
 def read_raft_log(spark: SparkSession, path: str) -> DataFrame:

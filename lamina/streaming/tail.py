@@ -8,8 +8,11 @@ so late and out-of-order records are judged by their sequence.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lamina.operators import versions
 
@@ -55,3 +58,25 @@ def source(spark: SparkSession, path: str, most_files: int = 64) -> DataFrame:
     """A stream over the Parquet files at a path, be it a folder or one file (a glob takes both)."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", most_files).parquet(f"{path}*")
+
+
+def changes(stream: DataFrame) -> DataFrame:
+    """(key, seq, deleted, value) each time a key's newest version becomes another one.
+
+    The state of a key is its newest version; records that are older than it change nothing,
+    whatever batch they come in.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        best = state.get if state.exists else None
+        before = best
+        for part in parts:
+            row = part.loc[part["seq"].idxmax()]
+            if best is None or row["seq"] >= best[0]:
+                best = (int(row["seq"]), bool(row["deleted"]), row["value"])
+        if best != before:
+            state.update(best)
+            yield pd.DataFrame([(key[0], *best)], columns=["key", "seq", "deleted", "value"])
+
+    kinds = "key string, seq bigint, deleted boolean, value string", "seq bigint, deleted boolean, value string"
+    return stream.select("key", "seq", "deleted", "value").groupBy("key").applyInPandasWithState(step, *kinds, "update", GroupStateTimeout.NoTimeout)

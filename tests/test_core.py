@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lamina import schema
-from lamina.functions import codec
+from lamina.functions import codec, messages
 from lamina.operators import bloom, recovery, replication, tables, telemetry, versions
 from lamina.plans.store import Store, StoreConfig
 from lamina.sources import framed
@@ -280,3 +280,44 @@ def test_stream_restarts_where_it_was(spark, tmp_path):
         p.coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
     got = tail.snapshot(src(), f"{tmp_path}/state")
     assert {r.key: r.value for r in got.collect()} == model(rows)
+
+
+def test_messages_round_trip(spark):
+    entries = F.array(*(F.struct(F.lit(t).cast("bigint").alias("term"), F.lit(i).cast("bigint").alias("idx"), F.lit(c).cast("binary").alias("command")) for t, i, c in ((1, 1, "a|b"), (2, 2, ""), (2, 3, "x" * 300))))
+    none = F.array().cast(f"array<{messages.ENTRY}>")
+    values = {"u32": F.lit(2**32 - 1), "u64": F.lit(2**40 + 3), "flag": F.lit(True), "text": F.lit("kéy|\0"), "entries": entries}
+    for name, fields in messages.FIELDS.items():
+        for e in (entries, none) if name == "append" else (none,):
+            given = {f: (e if kind == "entries" else values[kind]) for f, kind in fields}
+            df = spark.range(1).select(messages.message(name, given).alias("m"))
+            df = df.select(messages.open_frame(F.col("m")).alias("f"), messages.open_frame(F.col("m").substr(F.lit(1), F.octet_length("m") - 1)).alias("short"), *(c.alias(f) for f, c in given.items()))
+            got = df.select("*", messages.decode(name, F.col("f.payload")).alias("d"), messages.decode(name, F.col("f.payload").substr(F.lit(1), F.octet_length("f.payload") - 1)).alias("cut")).first()
+            assert got.f.kind == messages.KINDS[name] and (got.short is None)
+            for f, kind in fields:
+                want = got[f].encode() if kind == "text" else got[f]
+                have = bytes(got.d[f]) if kind == "text" else got.d[f]
+                assert have == want
+            assert (got.cut is None) == bool(fields)
+
+
+def test_damaged_entry_count_is_cheap(spark):
+    bad = spark.createDataFrame([(bytearray(struct.pack(">IIQIQQI", 1, 2, 3, 4, 5, 6, 2**32 - 1) + b"x" * 8),)], "m binary")
+    assert bad.select(messages.decode("append", F.col("m")).alias("d")).first().d is None
+
+
+def test_wal_tail_and_changes(spark, tmp_path):
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "00000001.wal").write_bytes(wal_bytes([(1, b"a", b"1"), (2, b"b", b"2"), (5, b"a", None)]))
+    seen: list = []
+
+    def run():
+        rows = framed.tail_wal(spark, f"{tmp_path}/w").where("crc_ok").select(F.col("key").cast("string").alias("key"), "seq", "deleted", F.col("value").cast("string").alias("value"))
+        query = tail.changes(rows).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend((r.key, r.seq, r.deleted) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    assert sorted(seen) == [("a", 5, True), ("b", 2, False)]
+    seen.clear()
+    (tmp_path / "w" / "00000002.wal").write_bytes(wal_bytes([(4, b"a", b"late"), (6, b"b", b"new"), (3, b"c", b"3")]))
+    run()
+    assert sorted(seen) == [("b", 6, False), ("c", 3, False)]
