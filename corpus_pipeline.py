@@ -52,10 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result but the last is written as Parquet in the shared folder and read again."""
+    """All stages on documents; each result but the last is written as Parquet in the shared folder and read again; only the newest is kept."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{tk.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            files.delete(path(last), True)
+        last = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

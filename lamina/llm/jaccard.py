@@ -11,7 +11,8 @@ prefix tokens instead of heads join a corpus into one family: common shingles pe
 
 Within a family the exact token counts give further global orders.  A candidate must share a
 prefix token under each of them, the filters are intersected, and only then is a pair
-verified on the whole sets.  Families of more than ``BLOCK`` sets are joined by blocks.
+verified on the whole sets.  In families of more than ``BLOCK`` sets, those that link with a
+pivot are one component at once; only the others are compared with all, by blocks.
 
 Documents with equal sets are one node (least id).  Shingles are compared by 52-bit hashes,
 sets are told apart by 128 bits.  Defined results: null text and text without words have an
@@ -343,6 +344,47 @@ def _family_links(k: int, percent: int):
     return run
 
 
+def _around_pivot(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """Members of large families with their family's pivot (least node) and whether they link with it.
+
+    Those that do are one component already, so later they are compared with the others only.
+    """
+    pivots = members.groupBy("family").agg(F.min_by(F.struct("node", "text"), F.struct("node", "s1")).alias("p")).select(F.col("family").alias("f"), F.col("p.node").alias("pivot"), F.col("p.text").alias("ptext"))
+
+    @tk.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, center = None, None
+        for batch in batches:
+            core = []
+            owners, origin = batch.column("pivot").to_pylist(), batch.column("ptext")
+            data, off = tk.buffers(batch.column("text"))
+            for a, b, d, o in small_chunks(data, off):
+                token, begin = shingles(d, o, k)
+                for x in range(a, b):
+                    if owners[x] != seen:
+                        seen, (center, _) = owners[x], shingles(*tk.buffers(origin[x : x + 1]), k)
+                    s = token[begin[x - a] : begin[x - a + 1]]
+                    both = len(np.intersect1d(s, center, assume_unique=True))
+                    core.append(100 * both >= percent * (len(s) + len(center) - both))
+            keep = [batch.column(c) for c in ("family", "node", "s1", "s2", "text", "pivot")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(core, pa.bool_())], names=["family", "node", "s1", "s2", "text", "pivot", "core"])
+
+    joined = members.join(pivots, F.col("family") == F.col("f")).select("family", "node", "s1", "s2", "text", "pivot", "ptext")
+    return joined.mapInArrow(run, "family bigint, node bigint, s1 bigint, s2 bigint, text string, pivot bigint, core boolean")
+
+
+def _block_pairs(around: DataFrame, block: int) -> DataFrame:
+    """Members of large families under each pair of blocks that has a block without core members."""
+    sizes = around.groupBy("family").agg(F.ceil(F.count_if(~F.col("core")) / F.lit(block)).cast("int").alias("others"), F.ceil(F.count_if("core") / F.lit(block)).cast("int").alias("cores"))
+    rows = around.join(sizes, "family")
+    hashed = F.xxhash64("s2", "s1")
+    rows = rows.withColumn("block", F.when(F.col("core"), F.col("others") + F.pmod(hashed, F.greatest("cores", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int"))
+    last = F.when(F.col("core"), F.col("others")).otherwise(F.col("others") + F.col("cores")) - 1
+    other = F.explode(F.when(last >= 0, F.sequence(F.lit(0), last)))
+    rows = rows.select("family", "block", "node", "s1", "s2", "text", other.alias("other"))
+    return rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.lit(2).alias("blocks"), "block", "node", "s1", "s2", "text")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, for links of at least ``percent`` Jaccard."""
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -357,15 +399,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family")
     members = tk.materialize(members)
     blocks = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
-    with_text = members.join(texts.withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d")))
-    spread = with_text.select("family", "blocks", "block", "node", "s1", "s2", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks", "block", "node", "s1", "s2", "text")
+    members = members.join(blocks, "family")
+    with_text = members.join(texts.withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "s1", "s2", "text")
+    zero = F.lit(0)
+    spread = with_text.where("blocks = 1").select("family", zero.alias("i"), zero.alias("j"), "blocks", zero.alias("block"), "node", "s1", "s2", "text")
+    large, near = not members.where("blocks > 1").isEmpty(), None
+    if large:
+        around = tk.materialize(_around_pivot(with_text.where("blocks > 1"), words, percent))
+        near = around.where("core AND node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        spread = spread.unionByName(_block_pairs(around, block))
     spread = spread.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "blocks")
     links = tk.materialize(spread.mapInArrow(_family_links(words, percent), "a bigint, b bigint, big boolean"))
     roots = links.where("NOT big").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if not links.where("big").isEmpty():
-        roots = roots.union(graph.components(links.where("big").select("a", "b"), stars=True))
+    if large:
+        roots = roots.union(graph.components(links.where("big").select("a", "b").union(near), stars=True))
     own = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     joined = rows.join(own, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < _NULL_ID, F.col("root"))
