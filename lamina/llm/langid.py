@@ -143,7 +143,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def predictor(docs: DataFrame, model: Model | None, text_at: int, finish):
-    """mapInArrow over ``docs``: ``finish(batch, langs, scores)`` makes the result of each batch."""
+    """For mapInArrow: ``finish(batch, langs, scores, has_letter)`` makes the result of each batch."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @tk.tidy
@@ -163,7 +163,7 @@ def predictor(docs: DataFrame, model: Model | None, text_at: int, finish):
                     langs[a + i : a + j] = np.array(m.langs, object)[best]
                     score[a + i : a + j] = 1 / e.sum(1)
             langs[~letter], score[~letter] = UNKNOWN, 0.0
-            yield finish(batch, langs, score)
+            yield finish(batch, langs, score, letter)
 
     return run
 
@@ -180,11 +180,15 @@ def _has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    run = predictor(docs, model, 1, lambda b, langs, score: pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]))
+    run = predictor(docs, model, 1, lambda b, langs, score, _: pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"]))
     return texts.mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language; the others are rejected."""
-    run = predictor(docs, model, docs.columns.index(text_col), lambda b, langs, _: b.filter(pa.array(langs != UNKNOWN)))
+    """The rows of ``docs`` whose text has a language; the others are rejected.
+
+    Without a model (no labels at all), texts with a letter stay.
+    """
+    bare = model is None  # the model itself goes by broadcast
+    run = predictor(docs, model, docs.columns.index(text_col), lambda b, langs, _, letter: b.filter(pa.array(letter if bare else langs != UNKNOWN)))
     return tk.bounded(docs).mapInArrow(run, docs.schema)

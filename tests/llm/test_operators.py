@@ -60,6 +60,7 @@ def test_language_without_rows_or_labels(spark):
     df = H.docs(spark, ["hello", None])
     model = langid.train(df, fold(3) != 1)
     assert model is None and {r.lang_pred for r in langid.predict(df, model).collect()} == {"und"}
+    assert [r.text for r in langid.keep_known(df, model).collect()] == ["hello"]
     assert langid.predict(df.limit(0), langid.train(df.limit(0), fold(3) != 1)).count() == 0
 
 
