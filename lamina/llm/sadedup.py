@@ -261,10 +261,8 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
                 for h, lo, n in zip(texts, los, sizes, strict=True):
                     pieces[h, lo] = joined[at : at + n]
                     at += n
-        if len(pieces) < 2:
-            # a piece alone can still repeat itself
-            if not pieces:
-                return
+        if not pieces:
+            return
         size_of = np.array([len(p) for p in pieces.values()], np.int64)
         at = np.cumsum(size_of + 1) - size_of - 1
         t = np.full(int(size_of.sum()) + len(pieces) + 1, suffixes.GAP, np.int16)

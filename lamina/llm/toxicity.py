@@ -1,11 +1,11 @@
 """Toxicity by averaged subword embeddings and a linear softmax, trained jointly in numpy.
 
-A word is the bag of its hashed character n-grams (3 to 5 bytes, with word borders) and of
+A word is the bag of its hashed character n-grams (3 to 7 bytes, with word borders) and of
 itself; a window of ``WINDOW`` words averages the embeddings of its words (a word right after itself
 counts once, missing words of short texts count as zero vectors), and a linear softmax turns
-the average into two class probabilities.  A text scores as its worst window,
-so that a short insult in a long text isn't averaged away; texts of up to ``WINDOW`` words
-are one window.  Misspelt words share most n-gram vectors with the words they come from.
+the average into two class probabilities.  A text scores as its worst window, so that a short
+insult in a long text isn't averaged away; texts of up to ``WINDOW`` words are one window.
+Embeddings begin at smoothed log-odds and are then trained with the softmax.  Misspelt words share most n-gram vectors with the words they come from.
 Scoring needs only one number a subword, because the softmax is linear in the average.
 
 Training takes a bounded sample (``FIT_ROWS`` a label, texts up to ``FIT_BYTES``); scoring
