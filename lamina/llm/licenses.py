@@ -8,6 +8,13 @@ unit must hold one of any words that touch more than a third of them; texts and
 without such an anchor word are ruled out exactly.  Everything is one
 projection in DataFrame expressions, without a shuffle.
 
+Whole licenses (``TEXTS``) are wrapped over many lines, often above other text.  Each is compared
+with the windows of the text that begin at one of its bigrams and have as many bigrams as it has
+itself; the window may be cut short by the end of the text.  Long texts repeat themselves, so
+here Dice is that of the distinct bigrams of both.  Only windows that hold enough bigrams of the
+license are compared, which leaves nothing out.  A text has one match at most for each license, told under unit 0; the
+best of these goes before all notices, since licenses hold some of them.
+
 Defined results: null and empty text has no unit; units of fewer than two words have no
 bigram and match nothing; equal scores go to the template that comes first by name; other
 columns are passed over; repeated rows give repeated results.
@@ -15,8 +22,11 @@ columns are passed over; repeated rows give repeated results.
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +51,18 @@ TEMPLATES = {
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense-notice": "This is free and unencumbered software released into the public domain.",
 }
+#: Whole licenses and the blocks of lines that files carry, by name.
+TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def normal(text: str) -> list[str]:
+    """Words of the normalised text."""
+    return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip().split(" ")
 
 
 def bigrams(text: str) -> list[str]:
     """Distinct word bigrams of the normalised text, in order."""
-    w = re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip().split(" ")
+    w = normal(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
@@ -59,11 +76,31 @@ def anchors(grams: list[str], low: float) -> list[str]:
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def common(grams: list[str], low: float, given: list[str]) -> list[str]:
+    """Few words that with the given ones touch more bigrams than a match can miss; long words if they suffice."""
+    out: list[str] = []
+    left = [w for w in (set(g.split(" ")) for g in grams) if not any(x in w for x in given)]
+    while len(grams) - len(left) <= (1 - low) * len(grams) + 1e-9:
+        count: dict[str, int] = {}
+        for g in left:
+            for w in g:
+                count[w] = count.get(w, 0) + 1
+        out.append(max(count, key=lambda w: (len(w) >= 7, count[w], w)))
+        left = [g for g in left if out[-1] not in g]
+    return out
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", whole: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_units (matching units), license (best template or null), dice, matches (unit:template, in order).
 
-    Units are numbered from 1 by line; the whole text is unit 0.
+    Units are numbered from 1 by line; the whole text is unit 0, and so are its windows that match whole licenses.
     """
+    whole = (TEXTS if templates is None else {}) if whole is None else whole
     grams = {k: bigrams(t) for k, t in sorted((TEMPLATES if templates is None else templates).items())}
     grams = {k: g for k, g in grams.items() if g}
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,14 +132,46 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         scores = F.array(*scores) if scores else F.array().cast("array<struct<dice:double,name:string>>")
         return F.aggregate(scores, F.lit(None).cast("struct<dice:double,name:string>"), lambda a, s: F.when(s.isNotNull() & (s["dice"] >= threshold) & (a.isNull() | (s["dice"] > a["dice"])), s).otherwise(a))
 
+    match = "struct<unit:int,b:struct<dice:double,name:string>>"
+
+    def window(name: str, body: str, g: Column) -> Column:
+        """The best window of a text's bigrams for one whole license, null below the threshold."""
+        t, n = bigrams(body), len(normal(body)) - 1
+        grams, need = F.split(F.lit(",".join(t)), ","), max(1, math.ceil(low * len(t) - 1e-9))
+
+        def best_of(starts: Column) -> Column:
+            dice = lambda v: F.size(F.array_intersect(v, grams)) * 2.0 / (F.size(v) + F.lit(len(t)))
+            return F.array_max(F.transform(starts, lambda p: _let(F.array_distinct(F.slice(g, p + 1, F.lit(n))), dice)))
+
+        hits = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(grams, x), i)), lambda p: p.isNotNull())
+        starts = _let(hits, lambda h: F.filter(h, lambda p, j: F.coalesce(F.get(h, j + need - 1) - p < n, F.lit(False))))
+        top = F.when(F.size(F.array_intersect(g, grams)) >= need, _let(starts, best_of))
+        return _let(top, lambda d: F.when(d >= threshold, F.struct(F.lit(0).alias("unit"), F.struct(d.alias("dice"), F.lit(name).alias("name")).alias("b"))))
+
+    bodies = {k: v for k, v in sorted(whole.items()) if bigrams(v)}
+    # a match holds so many code points at least: distinct bigrams begin at distinct words
+    least_size = {k: sum(sorted(len(g.split(" ")[0]) + 1 for g in bigrams(v))[: math.ceil(low * len(bigrams(v)) - 1e-9)]) for k, v in bodies.items()}
+    # from the least size up, each license adds the words that those before it lack
+    signs: list[tuple[int, list[str]]] = []
+    for k in sorted(bodies, key=lambda k: (least_size[k], k)):
+        signs.append((least_size[k], common(bigrams(bodies[k]), low, [w for _, ws in signs for w in ws])))
+
+    def blocks() -> Column:
+        """Matches of all whole licenses; few texts come as far as words."""
+        may = lambda small: reduce(lambda a, x: a | ((F.length(small) >= x[0]) & reduce(lambda b, w: b | F.contains(small, F.lit(w)), x[1], F.lit(False))), [x for x in signs if x[1]], F.lit(False))
+        found = _let(pairs(words(text)), lambda g: F.filter(F.array(*(window(k, v, g) for k, v in bodies.items())), lambda x: x.isNotNull()))
+        return F.when(_let(F.lower(text), may), found)
+
     units = F.transform(F.concat(F.array(text), F.split(text, "\n", -1)), lambda u, i: F.struct(i.alias("unit"), u.alias("u")))
     units = F.filter(units, lambda x: anchored(x["u"]))
     units = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), pairs(words(x["u"])).alias("g")))
     scored = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), best(x["g"]).alias("b")))
     kept = F.when(anchored(text), F.filter(scored, lambda x: x["b"].isNotNull()))
-    none = F.array().cast("array<struct<unit:int,b:struct<dice:double,name:string>>>")
-    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(kept, none).alias("m"))
-    top = F.aggregate("m", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["b"]["dice"] > a["dice"]) | ((x["b"]["dice"] == a["dice"]) & (x["b"]["name"] < a["name"])), x["b"]).otherwise(a))
+    none = F.array().cast(f"array<{match}>")
+    large = F.coalesce(blocks().cast(f"array<{match}>"), none) if bodies else none
+    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(kept, none).alias("small"), large.alias("large"))
+    found = found.select("doc_id", F.concat("large", "small").alias("m"), F.when(F.size("large") > 0, F.col("large")).otherwise(F.col("small")).alias("first"))
+    top = F.aggregate("first", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["b"]["dice"] > a["dice"]) | ((x["b"]["dice"] == a["dice"]) & (x["b"]["name"] < a["name"])), x["b"]).otherwise(a))
     found = found.select("doc_id", "m", top.alias("top"))
     return found.select(
         "doc_id", F.size("m").cast("bigint").alias("n_units"), F.col("top.name").alias("license"), F.col("top.dice").alias("dice"),

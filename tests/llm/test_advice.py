@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from lamina.llm import licenses
 from tests.llm import helpers as H
 
 
@@ -25,3 +26,28 @@ def test_near_duplicate_stage_at_five_words_and_four_fifths(spark):
     kept = {i for i, r in enumerate(root) if r == i}
     assert len(kept) < len({r for _, r in H.components(list(enumerate(texts))).values()})
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == kept
+
+
+def best_window(text, body):
+    w, t, n = licenses.normal(text), licenses.bigrams(body), len(licenses.normal(body)) - 1
+    g = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    return max((2 * len(set(g[i : i + n]) & set(t)) / (len(set(g[i : i + n])) + len(t)) for i in range(len(g)) if g[i] in t), default=0)
+
+
+def test_whole_licenses_wrapped_and_above_code(spark):
+    prose = "\n".join(f"value_{i} = compute(value_{i - 1}, {i}) + the other" for i in range(80))
+    comment = lambda t: "".join(f" * {x}\n" for x in t.splitlines())
+    small = [k for k, v in licenses.TEXTS.items() if len(v) < 3000]
+    names = [*small, *small, "apache-2.0", "gpl-3.0"]
+    texts = [f"/*\n{comment(licenses.TEXTS[k])}*/\n{prose}" if i < len(small) else licenses.TEXTS[k] for i, k in enumerate(names)]
+    mit = licenses.TEXTS["mit"]
+    texts += [prose + mit + licenses.TEXTS["isc"], mit[: len(mit) * 6 // 10] + prose, mit[: len(mit) * 8 // 10] + prose, *H.AWKWARD]
+    got = {r.doc_id: r for r in licenses.scan(H.docs(spark, texts)).collect()}
+    for i, name in enumerate(names):
+        assert (got[i].license, f"0:{name}" in got[i].matches.split(",")) == (name, True)
+    n = len(names)
+    assert {"0:mit", "0:isc"} <= set(got[n].matches.split(","))
+    for i, t in enumerate(texts):
+        if len(t or "") < 8000:
+            want = {f"0:{k}" for k in small if best_window(t or "", licenses.TEXTS[k]) >= licenses.THRESHOLD}
+            assert {m for m in got[i].matches.split(",") if m[2:] in small and m[:2] == "0:"} == want
