@@ -4,9 +4,13 @@ Candidates are found by fixed expressions in every whole text.  The hash of each
 value is aggregated over the corpus by distinct repositories and owners: a value that more
 than ``MAX_OWNERS`` owners have is a widely copied example, any other one that looks like a
 key is live.  A value known as live from its context in one place is then found wherever it
-stands bare; these are the spans that the method adds to the base ones.
+stands bare, as a run of 8 or more characters of the assign alphabet, with dots or between
+them; these are the spans that the method adds to the base ones.  Values without a letter or
+without a digit are often plain words; they are left where more than ``MAX_OWNERS`` owners have
+them bare.  (The SQL knows only bare runs of 16 or more with a letter, a digit and no dot.)
 
-Text is scanned once; its candidates (never the text) are checkpointed and shuffled.  Counts
+Text is scanned for candidates, which are checkpointed, and again for bare runs, whose hashes
+are shuffled to those of live values; only texts with a hit are searched for places.  Counts
 by hash are built in three steps of partial aggregation, so a value that a third of all rows
 hold is a few rows before it is shuffled.  Defined results: null text is empty; a null owner
 or repository counts as one owner of its own; rows with equal id and text get equal spans;
@@ -23,12 +27,15 @@ from pyspark.sql import functions as F
 from lamina.llm import textkit as tk
 
 MAX_OWNERS, MIN_DISTINCT = 2, 6
+MATCHES = "array<struct<kind:string,i:int,gap:bigint,size:bigint,value:string>>"
 KINDS = ("assign", "access", "hex", "bare")
 # The expressions of the three base kinds, then that of bare values.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}+"
 BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+"
+#: Bare runs of every live value: between dots and with dots.
+RUNS = {"plain": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+", "dotted": r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{8,}+"}
 EXAMPLE = r"(?i)example|changeme|placeholder|your[_-]?|x{6,}|dummy|0{8,}"
 
 
@@ -55,7 +62,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
         _kind("hex", t, HEX, 0, F.lit(True)),
         _kind("bare", t, BARE, 0, F.lit(True)),
     ]
-    none = F.array().cast("array<struct<kind:string,i:int,gap:bigint,size:bigint,value:string>>")
+    none = F.array().cast(MATCHES)
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.xxhash64(F.col(id_col), t).alias("key"),
@@ -65,8 +72,28 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
     )
 
 
-def spans(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
-    """(doc_id, key, kind, start, end, live) of all base spans and of the spans added."""
+def bare_spans(texts: DataFrame, live: DataFrame, max_owners: int) -> DataFrame:
+    """(doc_id, key, kind, start, end, live) of the live values (h, value) that stand bare in texts (doc_id, key, owner, text)."""
+    t = F.col("text")
+    plain, dotted = (F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in RUNS.values())
+    runs = F.array_distinct(F.concat(plain, F.flatten(F.transform(dotted, lambda x: F.array(x, F.regexp_replace(x, r"\.+$", ""))))))
+    rows = texts.select("doc_id", "key", "owner", F.explode(F.transform(runs, lambda x: F.xxhash64(x))).alias("h"))
+    hits = tk.materialize(rows.join(live, "h").distinct())
+    wide = hits.select("value", "owner").distinct().groupBy("value").count().where(F.col("count") > max_owners).select("value")
+    wide = wide.where(~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
+    values = hits.join(wide, "value", "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("value").alias("values"))
+    hit = texts.dropDuplicates(["doc_id", "key"]).join(values, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    each = F.concat(*(F.coalesce(_kind(k, t, p, 0, F.lit(True)), F.array().cast(MATCHES)) for k, p in RUNS.items()))
+    each = hit.select("doc_id", "key", "values", F.explode(each).alias("m")).select("doc_id", "key", "values", "m.*")
+    order = Window.partitionBy("doc_id", "key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size"))
+    each = each.withColumn("value", F.explode(F.array_distinct(F.array("value", F.regexp_replace("value", r"\.+$", "")))))
+    each = each.where(F.array_contains("values", F.col("value")))
+    return each.select("doc_id", "key", F.lit("bare").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"), F.lit(True).alias("live")).distinct()
+
+
+def spans(found: DataFrame, max_owners: int = MAX_OWNERS, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, kind, start, end, live) of all base spans and of the spans added; with ``texts``, of all bare runs."""
     one = F.explode("found").alias("m")
     rows = found.where(F.size("found") > 0).select("doc_id", "key", "owner", "repo", one).select("doc_id", "key", "owner", "repo", "m.*")
     # equal documents of one owner and repository give equal rows
@@ -86,13 +113,22 @@ def spans(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     verdict = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("looks").alias("looks"))
     verdict = verdict.select("hash", (F.col("looks") & (F.col("owners") <= max_owners)).alias("live"))
     judged = rows.join(verdict, "hash").where((F.col("kind") != "bare") | F.col("live"))
-    return judged.select("doc_id", "key", "kind", "start", "end", "live").distinct()
+    judged = judged.select("doc_id", "key", "kind", "start", "end", "live")
+    if texts is not None:
+        known = rows.where(F.col("kind") != "bare").join(verdict.where("live"), "hash", "left_semi").select(F.xxhash64("value").alias("h"), "value").distinct()
+        judged = judged.union(bare_spans(texts, known, max_owners))
+    return judged.distinct()
 
 
-def _by_document(found: DataFrame, max_owners: int) -> DataFrame:
+def _texts(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataFrame:
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), t.alias("text"))
+
+
+def _by_document(found: DataFrame, max_owners: int, texts: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     each = F.struct("start", place.alias("place"), "end", "kind", "live")
-    return spans(found, max_owners).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(each)).alias("s"))
+    return spans(found, max_owners, texts).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(each)).alias("s"))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
@@ -102,7 +138,7 @@ def _is(kind: str) -> Callable[[Column], Column]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every row."""
     found = tk.materialize(candidates(docs, id_col, text_col, owner_col, repo_cols))
-    per = _by_document(found, max_owners)
+    per = _by_document(found, max_owners, _texts(docs, id_col, text_col, owner_col))
     keys = found.select("doc_id", "key")
     # a bare span that overlaps a base one says nothing new
     base = F.filter("s", lambda x: x["kind"] != "bare")
@@ -127,7 +163,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
     """
     found = tk.materialize(candidates(docs, id_col, text_col, owner_col, repo_cols))
     d, k, s, i, key = tk.unused(docs, "d", "k", "s", "i", "key")
-    live = spans(found, max_owners).where("live").groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(s))
+    live = spans(found, max_owners, _texts(docs, id_col, text_col, owner_col)).where("live").groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(s))
     t = F.col(text_col)
     keyed = docs.withColumn(i, F.col(id_col).cast("bigint")).withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(t, F.lit(""))))
     joined = keyed.join(live, F.col(i).eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")

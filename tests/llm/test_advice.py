@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from lamina.llm import licenses
+from lamina.llm import licenses, secrets
 from tests.llm import helpers as H
 
 
@@ -51,3 +51,18 @@ def test_whole_licenses_wrapped_and_above_code(spark):
         if len(t or "") < 8000:
             want = {f"0:{k}" for k in small if best_window(t or "", licenses.TEXTS[k]) >= licenses.THRESHOLD}
             assert {m for m in got[i].matches.split(",") if m[2:] in small and m[:2] == "0:"} == want
+
+
+def test_live_values_of_any_form_standing_bare(spark):
+    values = ["Zk39xLq8Tt71", "eyJhbGci.eyJzdWIi.SflKxwRJ", "correcthorsebattery"]
+    texts = [f'password = "{v}"' for v in values] + [f"see {v}. Then (\U0001f600 {v}) ends" for v in values] + ["token: everything"] + ["everything is fine"] * 4
+    owners = ["a"] * 7 + ["b", "c", "d", "e"]
+    df = H.docs(spark, texts).drop("source").join(spark.createDataFrame(list(enumerate(owners)), "doc_id bigint, source string"), "doc_id")
+    got = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, v in enumerate(values):
+        t = texts[3 + i]
+        a, b = t.index(v), t.rindex(v)
+        assert got[3 + i] == f"bare:{a}:{a + len(v)},bare:{b}:{b + len(v)}"
+        assert clean[3 + i] == t.replace(v, "[SECRET]")
+    assert all(got[i] == "" and clean[i] == texts[i] for i in range(7, 11))
