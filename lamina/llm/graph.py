@@ -71,11 +71,12 @@ def components(edges: DataFrame, most_rounds: int = 60, stars: bool = False) ->
     for _ in range(most_rounds):
         if _is_settled(e):
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        # a hub's edges are not dealt to one task
+        both, size = e.union(e.select("b", "a")), 2 * e.count()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+        large = tk.materialize(tk.join_hot(both, least, ["a"], "degree", size).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = tk.join_hot(large, low, ["a"], "degree", size)
         e = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         e = tk.materialize(e)
     raise RuntimeError("the components did not settle")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
+#: Keys of so many rows are broadcast in joins; there are at most HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 1000, 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -180,6 +182,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per``, which has one row for each key and, as ``weight``, how many of all ``total`` rows have it.
+
+    Keys of ``HOT_ROWS`` rows or more, and of a ``HOT_KEYS``th of all, are broadcast (HOT_KEYS rows
+    at most), so a key that a third of all rows have isn't dealt to one task.  Both inputs are
+    read twice; they should be checkpointed.
+    """
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if total < least:
+        return rows.join(per, keys, how)
+    names = unused(rows, "hot")
+    hot = per.where(F.col(weight) >= least)
+    cold = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias(names[0]))), keys, "left").where(F.col(names[0]).isNull()).drop(names[0])
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(per.where(F.col(weight) < least), keys, how))
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
