@@ -1,20 +1,24 @@
 """Suffix-array dedup of repeated byte strings, over shards that content chooses.
 
-Every window of ``size`` bytes has an anchor: the least of its k-grams under an order that
+Strings of ``size`` bytes that start anywhere else are removed.  Strings of ``short`` bytes
+(about fifty words of five bytes) that another text has, too, are only told: ``shared`` is 1 for
+texts that hold one.  Every window of ``short`` bytes has an anchor: the least of its k-grams under an order that
 depends on content alone and puts k-grams that are rare in the corpus first (by a count
 sketch of fixed size).  Equal windows have equal anchors at equal places.  Only anchors that
 occur at two places can belong to repeated windows; the stretch of text whose windows have
 such an anchor is a piece, and pieces go to the shard that their anchor's hash names.  A shard
 builds its suffix array by induced sorting, finds the common prefixes in text order, and
-marks each window that also starts somewhere else in the shard; so the marks are those of
-one suffix array of the whole corpus.  Rare anchors first keep the pieces of a passage that
+marks each window that also starts somewhere else in the shard; pieces hold ``size`` bytes
+from each of their windows on, so the marks of both lengths are those of one suffix array of
+the whole corpus.  Rare anchors first keep the pieces of a passage that
 very many texts share to that passage, and equal pieces of a task are sent once.
 
 Equal texts of ``size`` bytes or more are removed whole by their digest and are represented
 once in the shards.  The text is shuffled once; pieces are what repeats, some windows wide.
 
 Defined results: null text is empty; a text shorter than ``size`` is kept; rows that repeat
-id and text are copies of each other; other columns are passed over.
+id and text are copies of each other; very long texts are cut like others, piece by piece; an
+empty table gives no rows; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from lamina.llm import suffixes
 from lamina.llm import textkit as tk
 from lamina.llm.decontam import ranges
 
-SIZE, GRAM = 400, 96
+SIZE, SHORT, GRAM = 400, 250, 64
 CELLS, SLICES = 1 << 20, 16
 #: One k-gram in so many (by hash) is counted and preferred as an anchor.
 EVERY = 16
@@ -91,7 +95,7 @@ def sketch(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, levels: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run of windows with one anchor: row, first and last window start, hash of the anchor."""
+    """Of each run of windows of ``size`` bytes with one anchor: row, first and last window start, hash of the anchor."""
     start = _inside(off, size)
     if not len(start):
         z = np.zeros(0, np.int64)
@@ -119,6 +123,12 @@ def anchors(data: np.ndarray, off: np.ndarray, levels: np.ndarray, size: int, k:
     return np.searchsorted(off, lo, "right") - 1, lo, start[last], h[least[first]]
 
 
+def own_keys(names: np.ndarray, n: int, keys: int) -> list[int]:
+    """Negative keys under which a task's own results go out, spread over as many as there are others."""
+    first = int(names[0]) if len(names) else 0
+    return [-1 - (first + i) % keys for i in range(n)]
+
+
 def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: int, k: int) -> DataFrame:
     """(h1, lo) of pieces whose anchor occurs at two places of distinct texts."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
@@ -150,7 +160,7 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
         cut = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]]))).tolist()
         packed = [np.stack([key[a:b].view(np.int64), text[a:b], lo[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         mine = [found[:, a : a + 65536].tobytes() for a in range(0, found.shape[1], 65536)]
-        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *own_keys(text, len(mine), buckets)], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,27 +208,38 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
     return texts.select("text", "h1").mapInArrow(run, "bucket bigint, body binary").groupBy("bucket").applyInArrow(meet, "h1 bigint, lo bigint")
 
 
-def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: int) -> DataFrame:
-    """(h1, a, b) of byte ranges whose windows repeat; ``chosen`` has h1, text and the pieces' starts ``los``."""
+def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short: int, k: int) -> DataFrame:
+    """(h1, a, b) of byte ranges whose windows of ``size`` bytes repeat; a range with b = -1 tells that a string of ``short`` bytes is in another text, too.
+
+    ``chosen`` has h1, text and the pieces' starts ``los``.
+    """
     shared = chosen.sparkSession.sparkContext.broadcast(levels)
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
 
-        def emit(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-            """held: shard, text, start, bytes of each piece."""
-            once: dict[bytes, list[int]] = {}
+        def emit(held: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            """held: shard, text, start, windows, bytes of each piece."""
+            once: dict[tuple[int, bytes], list[int]] = {}
             for i, p in enumerate(held):
-                once.setdefault(hashlib.blake2b(p[3], digest_size=16).digest(), []).append(i)
-            direct = [(held[i][1], held[i][2], held[i][2] + len(held[i][3])) for v in once.values() if len(v) > 1 for i in v]
+                once.setdefault((p[3], hashlib.blake2b(p[4], digest_size=16).digest()), []).append(i)
+            direct = []
+            for v in once.values():
+                if len(v) > 1:
+                    # windows that the piece holds whole; the first piece of each text tells of the others' texts
+                    direct += [(held[i][1], held[i][2], held[i][2] + len(held[i][4])) for i in v if len(held[i][4]) >= size]
+                    if len(texts := {held[i][1] for i in v}) > 1:
+                        direct += [(t, -1, -1) for t in texts]
             by: dict[int, list[int]] = {}
             for v in once.values():
                 by.setdefault(held[v[0]][0], []).append(v[0])
-            shard, body = list(by), [pickle.dumps(([held[i][1] for i in v], [held[i][2] for i in v], [len(held[i][3]) for i in v], b"".join(held[i][3] for i in v))) for v in by.values()]
+            part = lambda v, f: [held[i][f] for i in v]
+            shard, body = list(by), [pickle.dumps((part(v, 1), part(v, 2), part(v, 3), [len(held[i][4]) for i in v], b"".join(part(v, 4)))) for v in by.values()]
             if direct:
-                shard.append(-1 - abs(direct[0][0]) % 64)
-                body.append(pickle.dumps(np.array(direct, np.int64).T))
+                found = np.array(direct, np.int64).T
+                shard += own_keys(found[0], 1, shards)
+                body.append(pickle.dumps(found))
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(body, pa.binary())], names=["shard", "body"])
 
         held, total = [], 0
@@ -226,7 +247,7 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
             texts, starts = batch.column("h1").to_pylist(), batch.column("los").to_pylist()
             data, off = tk.buffers(batch.column("text"))
             for a, b, d, o in tk.chunks(data, off):
-                row, lo, hi, key = anchors(d, o, level, size, k)
+                row, lo, hi, key = anchors(d, o, level, short, k)
                 shard = (tk.mix(key) % np.uint64(shards)).astype(np.int64).tolist()
                 fresh = [texts[i] not in seen for i in range(a, b)]
                 seen.update(texts[a:b])
@@ -234,11 +255,12 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
                     known: set[int] = set()
                     fresh = [f and not (t in known or known.add(t)) for f, t in zip(fresh, texts[a:b], strict=True)]
                 wanted = [set(starts[i]) for i in range(a, b)]
-                for r, x, y, s in zip(row.tolist(), lo.tolist(), hi.tolist(), shard, strict=True):
+                ends = np.minimum(hi + size, o[row + 1])
+                for r, x, y, z, s in zip(row.tolist(), lo.tolist(), hi.tolist(), ends.tolist(), shard, strict=True):
                     p = x - int(o[r])
                     if fresh[r] and p in wanted[r]:
-                        held.append((s, texts[a + r], p, d[x : y + size].tobytes()))
-                        total += y + size - x
+                        held.append((s, texts[a + r], p, y - x + 1, d[x:z].tobytes()))
+                        total += z - x
                 if total > 8_000_000:
                     yield emit(held)
                     held, total = [], 0
@@ -253,29 +275,36 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, k: in
                 for body in batch.column("body"):
                     yield out(*pickle.loads(body.as_py()))
             return
-        pieces: dict[tuple[int, int], bytes] = {}
+        pieces: dict[tuple[int, int], tuple[int, bytes]] = {}
         for batch in parts:
             for body in batch.column("body"):
-                texts, los, sizes, joined = pickle.loads(body.as_py())
+                texts, los, windows, sizes, joined = pickle.loads(body.as_py())
                 at = 0
-                for h, lo, n in zip(texts, los, sizes, strict=True):
-                    pieces[h, lo] = joined[at : at + n]
+                for h, lo, w, n in zip(texts, los, windows, sizes, strict=True):
+                    pieces[h, lo] = w, joined[at : at + n]
                     at += n
         if not pieces:
             return
-        size_of = np.array([len(p) for p in pieces.values()], np.int64)
+        size_of = np.array([len(p) for _, p in pieces.values()], np.int64)
+        windows = np.array([w for w, _ in pieces.values()], np.int64)
         at = np.cumsum(size_of + 1) - size_of - 1
         t = np.full(int(size_of.sum()) + len(pieces) + 1, suffixes.GAP, np.int16)
         t[-1] = suffixes.END
-        t[ranges(at, size_of)] = np.frombuffer(b"".join(pieces.values()), np.uint8).astype(np.int16) + suffixes.SHIFT
+        t[ranges(at, size_of)] = np.frombuffer(b"".join(p for _, p in pieces.values()), np.uint8).astype(np.int16) + suffixes.SHIFT
         names = np.array([h for h, _ in pieces], np.int64)
         los = np.array([lo for _, lo in pieces], np.int64)
         del pieces
-        edge = np.diff(np.concatenate([[0], suffixes.repeats(t, size).astype(np.int8), [0]]))
+        # the bytes behind a piece's last window are windows of other pieces
+        start = np.full(len(t), -1, np.int64)
+        start[ranges(at, windows)] = np.repeat(np.unique(names, return_inverse=True)[1], windows)
+        long, across = suffixes.repeats(t, start, size, short)
+        edge = np.diff(np.concatenate([[0], long.astype(np.int8), [0]]))
         first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
         piece = np.searchsorted(at, first, "right") - 1
         shift = los[piece] - at[piece]
-        yield out(names[piece], first + shift, last + shift + size)
+        told = np.unique(names[np.searchsorted(at, np.flatnonzero(across), "right") - 1])
+        none = np.full(len(told), -1, np.int64)
+        yield out(np.concatenate([names[piece], told]), np.concatenate([first + shift, none]), np.concatenate([last + shift + size, none]))
 
     return chosen.select("h1", "text", "los").mapInArrow(run, "shard bigint, body binary").groupBy("shard").applyInArrow(search, "h1 bigint, a bigint, b bigint")
 
@@ -305,35 +334,39 @@ def _cut(digest: bool):
     return run
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, gram: int = GRAM, digest: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, short: int = SHORT, gram: int = GRAM, digest: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, shared of every row.
 
     Without ``digest``: doc_id, the removed spans (bytes, end exclusive) and the bytes that stay,
     null where the whole text stays.
     """
+    short = min(short, size)
     t = F.coalesce(F.col(text_col), F.lit(""))
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), t.alias("text"), F.xxhash64(F.lit(1), t).alias("h1"), F.xxhash64(F.lit(2), t).alias("h2"))
     rows = tk.materialize(texts.select("doc_id", "h1", "h2", F.octet_length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("sha")))
-    long = texts.where(F.octet_length("text") >= size)
+    long = texts.where(F.octet_length("text") >= short)
     levels = sketch(long, gram)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = min(1 << 20, max(32, int(total / 128 / _POST)))
-    found = repeated_anchors(long, levels, buckets, size, gram)
+    n_rows, total = rows.agg(F.count("*"), F.sum("n")).first()
+    total = total or 0
+    buckets = min(1 << 20, max(32, int(total / 64 / _POST)))
+    found = repeated_anchors(long, levels, buckets, short, gram)
     los = tk.materialize(found.groupBy("h1").agg(F.collect_set("lo").alias("los")))
-    distinct = rows.where(F.col("n") >= size).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("d"))
+    distinct = tk.materialize(rows.where(F.col("n") >= short).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("d")))
     wanted = distinct.join(los, "h1")
     chosen = wanted.join(long.withColumnRenamed("h1", "g1").withColumnRenamed("h2", "g2"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("d").eqNullSafe(F.col("doc_id")))
     chosen = tk.materialize(chosen.select("h1", "h2", "copies", "text", "los"))
     pieces = los.agg(F.sum(F.size("los"))).first()[0] or 0
-    shards = max(1, int(pieces * (size + (size - gram) / 2) / SHARD_BYTES))
-    spans = covered(chosen, levels, shards, size, gram)
-    spans = spans.groupBy(F.col("h1").alias("s1")).agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    shards = max(1, int(pieces * (size + (short - gram) / 2) / SHARD_BYTES))
+    spans = covered(chosen, levels, shards, size, short, gram)
+    spans = spans.groupBy(F.col("h1").alias("s1")).agg(F.collect_list(F.when(F.col("b") >= 0, F.struct("a", "b"))).alias("found"), F.max((F.col("b") < 0).cast("int")).alias("shared"))
+    spans = tk.materialize(spans)
     # texts with copies go whole, whatever was found in them
-    cut = chosen.where("copies = 1").join(spans, F.col("h1") == F.col("s1")).select("h1", "h2", "text", "found")
+    cut = chosen.where("copies = 1").join(spans.where(F.size("found") > 0), F.col("h1") == F.col("s1")).select("h1", "h2", "text", "found")
     cut = cut.mapInArrow(_cut(digest), "h1 bigint, h2 bigint, spans array<struct<a:bigint,b:bigint>>, kept binary")
-    per = distinct.select("h1", "h2", "copies").join(cut, ["h1", "h2"], "left").where("copies > 1 OR kept IS NOT NULL")
-    joined = rows.join(per, ["h1", "h2"], "left")
-    whole = F.col("copies") > 1
+    told = spans.where("shared = 1").select(F.col("s1").alias("h1"), "shared")
+    per = tk.materialize(distinct.select("h1", "h2", "copies").join(cut, ["h1", "h2"], "left").join(told, "h1", "left").where("copies > 1 OR kept IS NOT NULL OR shared = 1"))
+    joined = tk.join_hot(rows, per, ["h1", "h2"], "copies", n_rows, "left")
+    whole = (F.col("copies") > 1) & (F.col("n") >= size)
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     found = F.when(whole, F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b")))).otherwise(F.coalesce("spans", none))
     out = joined.withColumn("spans", found)
@@ -341,4 +374,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         return out.select("doc_id", "spans", F.when(whole, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["b"] - x["a"])
     kept = F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce(F.col("kept").cast("string"), "sha"))
-    return out.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), kept.alias("kept_sha256"))
+    shared = F.greatest((F.col("copies") > 1).cast("int"), "shared")
+    return out.select("doc_id", F.col("n").alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), kept.alias("kept_sha256"), F.coalesce(shared, F.lit(0)).alias("shared"))

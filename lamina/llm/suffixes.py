@@ -146,12 +146,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, ordered.astype(np.int32), symbols)
 
 
-def repeats(t: np.ndarray, size: int, lanes: int = 1 << 14) -> np.ndarray:
-    """Where a string of ``size`` symbols without GAP starts that also starts somewhere else.
+def repeats(t: np.ndarray, owner: np.ndarray, size: int, short: int, lanes: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """Where a string of ``size`` symbols without GAP starts that also starts somewhere else; where one of ``short`` symbols starts that another owner has.
 
-    The common prefix of each suffix with its neighbour in order is found in text order
-    (permuted), so it shrinks by at most one from a position to the next; many stretches of
-    the text advance side by side.
+    ``owner`` is -1 where nothing counts as a start.  The common prefix of each suffix with its
+    neighbour in order is found in text order (permuted), so it shrinks by at most one from a
+    position to the next; many stretches of the text advance side by side.
     """
     n = len(t)
     sa = suffix_array(t)
@@ -194,8 +194,21 @@ def repeats(t: np.ndarray, size: int, lanes: int = 1 << 14) -> np.ndarray:
         at = at + 1
         keep = at < end
         at, end, h = at[keep], end[keep], h[keep]
-    long = np.flatnonzero(plcp >= size)
-    out = np.zeros(n, bool)
-    out[long] = True
-    out[before[long]] = True
-    return out
+    # runs of suffixes in order that share so many symbols
+    common, who = plcp[sa], owner[sa]
+    counts = who >= 0
+    out = []
+    for length, apart in ((size, False), (short, True)):
+        run = np.cumsum(common < length)[counts] - 1
+        new = np.ones(len(run), bool)
+        new[1:] = run[1:] != run[:-1]
+        head = np.flatnonzero(new)
+        mine, at = who[counts], np.cumsum(new) - 1
+        if apart:
+            several = np.minimum.reduceat(mine, head) != np.maximum.reduceat(mine, head) if len(head) else new
+        else:
+            several = np.bincount(at, minlength=len(head)) > 1
+        marks = np.zeros(n, bool)
+        marks[sa[counts][several[at]]] = True
+        out.append(marks)
+    return out[0], out[1]

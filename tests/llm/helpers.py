@@ -76,6 +76,17 @@ def repeats(texts, size):
     return out
 
 
+def shared(texts, size):
+    """Per text: whether a string of so many bytes is in another row's text, too."""
+    data = [(t or "").encode() for t in texts]
+    has = {}
+    for i, b in enumerate(data):
+        for k in range(len(b) - size + 1):
+            has.setdefault(b[k : k + size], set()).add(i)
+    some = {i for v in has.values() if len(v) > 1 for i in v}
+    return [int(i in some) for i in range(len(data))]
+
+
 SECRETS = {
     "assign": re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile("AKIA[A-Z0-9]+"),

@@ -296,7 +296,17 @@ def test_repeats_of_a_sequence(values, size, lanes):
         if (w >= 2).all():
             seen.setdefault(w.tobytes(), []).append(i)
     want = sorted(i for v in seen.values() if len(v) > 1 for i in v)
-    assert np.flatnonzero(suffixes.repeats(t, size, lanes)).tolist() == want
+    owner = np.arange(len(t)) // 20
+    got, across = suffixes.repeats(t, owner, size, size - 1, lanes)
+    assert np.flatnonzero(got).tolist() == want
+    shorter = {}
+    for i in range(len(t) - size + 2):
+        w = t[i : i + size - 1]
+        if (w >= 2).all():
+            shorter.setdefault(w.tobytes(), []).append(i)
+    assert np.flatnonzero(across).tolist() == sorted(i for v in shorter.values() if len({owner[i] for i in v}) > 1 for i in v)
+    some = np.where(np.arange(len(t)) % 3 == 0, -1, owner)
+    assert np.flatnonzero(suffixes.repeats(t, some, size, size, lanes)[0]).tolist() == sorted(i for v in seen.values() for i in [[i for i in v if some[i] >= 0]] if len(i) > 1 for i in i)
     assert [t[i:].tolist() for i in suffixes.suffix_array(t)] == sorted(t[i:].tolist() for i in range(len(t)))
 
 
@@ -310,16 +320,18 @@ def test_suffix_array_recursion():
         assert all(b[2 * i :] < b[2 * j :] for i, j in zip(sa, sa[1:], strict=False))
 
 
-@pytest.mark.parametrize(("size", "gram"), [(20, 8), (40, 16)])
-def test_suffix_dedup(spark, size, gram):
+@pytest.mark.parametrize(("size", "short", "gram"), [(20, 20, 8), (40, 25, 16), (60, 24, 10)])
+def test_suffix_dedup(spark, size, short, gram):
     rnd = random.Random(size)
-    passage, short = prose(rnd, 12), prose(rnd, 2)
-    texts = [prose(rnd, 20) + rnd.choice([passage, passage[5:], short, ""]) + prose(rnd, 20) for _ in range(30)]
+    passage, bit = prose(rnd, 12), prose(rnd, 4)
+    texts = [prose(rnd, 20) + rnd.choice([passage, passage[5:], bit, ""]) + prose(rnd, 20) for _ in range(30)]
+    texts += [passage[-size - 3 :], passage[-short - 2 :], passage[: short + 1], passage[: short - 1]]
     texts += [texts[0], texts[0][3:], "ab" * 60, "z" * 70, "\x00\x01" * 30, "ÿþ" * 30] + H.AWKWARD
-    got = {r.doc_id: tuple(r)[1:] for r in sadedup.scan(H.docs(spark, texts).repartition(5), size=size, gram=gram).collect()}
+    rows = sadedup.scan(H.docs(spark, texts).repartition(5), size=size, short=short, gram=gram).collect()
     want = H.repeats(texts, size)
-    assert {i: w for i, w in enumerate(want)} == got
-    for r in sadedup.scan(H.docs(spark, texts), size=size, gram=gram, digest=False).collect():
+    assert {i: w for i, w in enumerate(want)} == {r.doc_id: tuple(r)[1:5] for r in rows}
+    assert {r.doc_id: r.shared for r in rows} == dict(enumerate(H.shared(texts, short)))
+    for r in sadedup.scan(H.docs(spark, texts), size=size, short=short, gram=gram, digest=False).collect():
         kept = bytes((texts[r.doc_id] or "").encode() if r.kept is None else r.kept)
         assert H.sha(kept) == want[r.doc_id][3] and sum(x.b - x.a for x in r.spans) == want[r.doc_id][1]
     assert sadedup.scan(H.docs(spark, texts).limit(0)).count() == 0

@@ -86,6 +86,7 @@ def test_suffix_dedup_against_all_windows(results, texts):
     want = dict(zip(ids, H.repeats([texts[i] for i in ids], 400), strict=True))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in results["op8_suffix_dedup"].to_pylist()}
     assert got == want and sum(x[1] for x in got.values()) > 0
+    assert {r["doc_id"]: r["shared"] for r in results["op8_suffix_dedup"].to_pylist()} == dict(zip(ids, H.shared([texts[i] for i in ids], 250), strict=True))
 
 
 def test_stages_one_by_one(spark, tmp_path):
