@@ -14,6 +14,7 @@ from functools import cache, lru_cache, wraps
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -182,6 +183,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (which should be checkpointed) marked for broadcast if it has ``most`` rows or fewer; a shuffle joins it otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``per``, which has one row for each key and, as ``weight``, how many of all ``total`` rows have it.
 
