@@ -89,35 +89,36 @@ def op7() -> str:
     def kind(place: int, name: str, pattern: str, group: int) -> str:
         p = pattern.replace("'", "''")
         return rf"""
-  SELECT doc_id, owner, '{name}' AS kind, {place} AS place, unnest(generate_series(1, len(whole))) AS i, gaps, whole, value
-  FROM (SELECT doc_id, owner, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS whole, regexp_extract_all(t, '{p}', {group}) AS value FROM doc)"""
+  SELECT doc_id, owner, repo, '{name}' AS kind, {place} AS place, unnest(generate_series(1, len(whole))) AS i, gaps, whole, value
+  FROM (SELECT doc_id, owner, repo, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS whole, regexp_extract_all(t, '{p}', {group}) AS value FROM doc)"""
 
     # RE2 takes leftmost longest runs without possessive signs and looking behind
     hexes, bare = secrets.HEX.rstrip("+"), secrets.BARE.split(")", 1)[1].rstrip("+")
     found = " UNION ALL ".join((kind(1, "assign", secrets.ASSIGN, 1), kind(2, "access", secrets.ACCESS, 0), kind(3, "hex", hexes, 0), kind(4, "bare", bare, 0)))
     return rf"""
-WITH doc AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents
+WITH doc AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, coalesce(text, '') AS t FROM documents
 ), found AS ({found}
 ), span AS (
-  SELECT doc_id, owner, kind, place, value[i] AS v,
+  SELECT doc_id, owner, repo, kind, place, value[i] AS v,
          CAST(list_sum(list_transform(gaps[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS a,
          length(whole[i]) AS size FROM found
 ), good AS (
   SELECT *, a + size AS b FROM span
   WHERE kind = 'assign' AND length(v) >= 8 OR kind = 'access' AND size >= 16 OR kind = 'hex' OR kind = 'bare' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
 ), verdict AS (
-  SELECT v, count(DISTINCT owner) <= {secrets.MAX_OWNERS} AND len(list_distinct(string_split(v, ''))) >= {secrets.MIN_DISTINCT} AND NOT regexp_matches(v, '{secrets.EXAMPLE}') AS live
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos,
+         count(DISTINCT owner) <= {secrets.MAX_OWNERS} AND count(DISTINCT repo) <= {secrets.MAX_REPOS} AND len(list_distinct(string_split(v, ''))) >= {secrets.MIN_DISTINCT} AND NOT regexp_matches(v, '{secrets.EXAMPLE}') AS live
   FROM good WHERE kind <> 'bare' GROUP BY v
 ), judged AS (
-  SELECT DISTINCT doc_id, kind, place, a, b, live FROM good JOIN verdict USING (v) WHERE kind <> 'bare' OR live
+  SELECT DISTINCT doc_id, kind, place, a, b, live, owners, repos FROM good JOIN verdict USING (v) WHERE kind <> 'bare' OR live
 ), fresh AS (
   SELECT * FROM judged j WHERE kind <> 'bare' OR NOT EXISTS (SELECT 1 FROM judged k WHERE k.doc_id = j.doc_id AND k.kind <> 'bare' AND k.a < j.b AND j.a < k.b)
 ), per AS (
   SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
          string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) FILTER (kind <> 'bare') AS base,
          string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans,
-         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM fresh GROUP BY doc_id
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(owners) AS most_owners, max(repos) AS most_repos FROM fresh GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM documents LEFT JOIN per USING (doc_id)
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos FROM documents LEFT JOIN per USING (doc_id)
 """

@@ -2,19 +2,20 @@
 
 Candidates are found by fixed expressions in every whole text.  The hash of each candidate
 value is aggregated over the corpus by distinct repositories and owners: a value that more
-than ``MAX_OWNERS`` owners have is a widely copied example, any other one that looks like a
-key is live.  A value known as live from its context in one place is then found wherever it
+than ``MAX_OWNERS`` owners or more than ``MAX_REPOS`` repositories have is a widely copied
+example, any other one that looks like a key is live.  A value known as live from its context in one place is then found wherever it
 stands bare, as a run of 8 or more characters of the assign alphabet, with dots or between
 them; these are the spans that the method adds to the base ones.  Values without a letter or
 without a digit are often plain words; they are left where more than ``MAX_OWNERS`` owners have
 them bare.  (The SQL knows only bare runs of 16 or more with a letter, a digit and no dot.)
 
 Text is scanned for candidates, which are checkpointed, and again for bare runs, whose hashes
-are shuffled to those of live values; only texts with a hit are searched for places.  Counts
-by hash are built in three steps of partial aggregation, so a value that a third of all rows
-hold is a few rows before it is shuffled.  Defined results: null text is empty; a null owner
-or repository counts as one owner of its own; rows with equal id and text get equal spans;
-other columns, whatever their names, are passed over.
+meet those of live values (broadcast up to ``BROADCAST`` rows, else salted); only texts with a
+hit are searched for places.  Counts by hash are built in steps of partial aggregation, and
+values that very many rows have meet their verdict by broadcast.  Defined results: null text
+is empty; a null owner or repository counts as one owner of its own; rows with equal id and
+text get equal spans; very long texts are read whole; an empty table gives no rows; other
+columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm import textkit as tk
 
-MAX_OWNERS, MIN_DISTINCT = 2, 6
+MAX_OWNERS, MAX_REPOS, MIN_DISTINCT = 2, 4, 6
+#: Rows of a side that may be broadcast, and the salts of joins beyond that.
+BROADCAST, SALTS = 100_000, 32
 MATCHES = "array<struct<kind:string,i:int,gap:bigint,size:bigint,value:string>>"
 KINDS = ("assign", "access", "hex", "bare")
 # The expressions of the three base kinds, then that of bare values.
@@ -73,27 +76,35 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
 
 
 def bare_spans(texts: DataFrame, live: DataFrame, max_owners: int) -> DataFrame:
-    """(doc_id, key, kind, start, end, live) of the live values (h, value) that stand bare in texts (doc_id, key, owner, text)."""
+    """(doc_id, key, kind, start, end, live, owners, repos) of the live values (h, value, owners, repos) that stand bare in texts (doc_id, key, owner, text)."""
     t = F.col("text")
     plain, dotted = (F.regexp_extract_all(t, F.lit(p), F.lit(0)) for p in RUNS.values())
     runs = F.array_distinct(F.concat(plain, F.flatten(F.transform(dotted, lambda x: F.array(x, F.regexp_replace(x, r"\.+$", ""))))))
     rows = texts.select("doc_id", "key", "owner", F.explode(F.transform(runs, lambda x: F.xxhash64(x))).alias("h"))
-    hits = tk.materialize(rows.join(live, "h").distinct())
+    live = tk.materialize(live)
+    if live.limit(BROADCAST + 1).count() <= BROADCAST:
+        hits = rows.join(F.broadcast(live), "h")
+    else:
+        # common words are runs, too, so no run is dealt by its hash alone
+        salted = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"]).drop("salt")
+    hits = tk.materialize(hits.distinct())
     wide = hits.select("value", "owner").distinct().groupBy("value").count().where(F.col("count") > max_owners).select("value")
     wide = wide.where(~(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
-    values = hits.join(wide, "value", "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("value").alias("values"))
-    hit = texts.dropDuplicates(["doc_id", "key"]).join(values, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    values = hits.join(wide, "value", "left_anti").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.map_from_entries(F.collect_set(F.struct("value", F.struct("owners", "repos")))).alias("values"))
+    values = tk.small(tk.materialize(values), BROADCAST)
+    hit = texts.join(values, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).dropDuplicates(["doc_id", "key"])
     each = F.concat(*(F.coalesce(_kind(k, t, p, 0, F.lit(True)), F.array().cast(MATCHES)) for k, p in RUNS.items()))
     each = hit.select("doc_id", "key", "values", F.explode(each).alias("m")).select("doc_id", "key", "values", "m.*")
     order = Window.partitionBy("doc_id", "key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(order) - F.col("size"))
     each = each.withColumn("value", F.explode(F.array_distinct(F.array("value", F.regexp_replace("value", r"\.+$", "")))))
-    each = each.where(F.array_contains("values", F.col("value")))
-    return each.select("doc_id", "key", F.lit("bare").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"), F.lit(True).alias("live")).distinct()
+    each = each.withColumn("n", F.element_at("values", F.col("value"))).where("n IS NOT NULL")
+    return each.select("doc_id", "key", F.lit("bare").alias("kind"), "start", (F.col("start") + F.length("value")).alias("end"), F.lit(True).alias("live"), "n.owners", "n.repos").distinct()
 
 
-def spans(found: DataFrame, max_owners: int = MAX_OWNERS, texts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, key, kind, start, end, live) of all base spans and of the spans added; with ``texts``, of all bare runs."""
+def spans(found: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, kind, start, end, live, owners, repos) of all base spans and of the spans added; with ``texts``, of all bare runs."""
     one = F.explode("found").alias("m")
     rows = found.where(F.size("found") > 0).select("doc_id", "key", "owner", "repo", one).select("doc_id", "key", "owner", "repo", "m.*")
     # equal documents of one owner and repository give equal rows
@@ -107,15 +118,18 @@ def spans(found: DataFrame, max_owners: int = MAX_OWNERS, texts: DataFrame | Non
         | ((F.col("kind") == "hex") & (F.col("size") >= 32))
         | ((F.col("kind") == "bare") & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     ).withColumn("hash", F.sha2("value", 256))
+    rows = tk.materialize(rows.select("doc_id", "key", "owner", "repo", "kind", "start", "end", "value", "hash"))
     looks = (F.size(F.array_distinct(F.filter(F.split("value", ""), lambda c: c != ""))) >= MIN_DISTINCT) & ~F.col("value").rlike(EXAMPLE)
-    pairs = rows.where(F.col("kind") != "bare").groupBy("hash", "owner", "repo").agg(F.max(looks).alias("looks"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.max("looks").alias("looks"))
-    verdict = owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.max("looks").alias("looks"))
-    verdict = verdict.select("hash", (F.col("looks") & (F.col("owners") <= max_owners)).alias("live"))
-    judged = rows.join(verdict, "hash").where((F.col("kind") != "bare") | F.col("live"))
-    judged = judged.select("doc_id", "key", "kind", "start", "end", "live")
+    based = F.col("kind") != "bare"
+    pairs = rows.groupBy("hash", "owner", "repo").agg(F.max(looks).alias("looks"), F.count("*").alias("n"), F.max(based).alias("based"))
+    owners = pairs.groupBy("hash", "owner").agg(F.count_if("based").alias("repos"), F.max("looks").alias("looks"), F.sum("n").alias("n"))
+    verdict = owners.groupBy("hash").agg(F.count_if(F.col("repos") > 0).alias("owners"), F.sum("repos").alias("repos"), F.max("looks").alias("looks"), F.sum("n").alias("n")).where("owners > 0")
+    verdict = tk.materialize(verdict.select("hash", "owners", "repos", "n", (F.col("looks") & (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live")))
+    judged = tk.join_hot(rows, verdict, ["hash"], "n", rows.count()).where(based | F.col("live"))
+    if texts is not None:
+        known = judged.where(based & F.col("live")).select(F.xxhash64("value").alias("h"), "value", "owners", "repos").distinct()
+    judged = judged.select("doc_id", "key", "kind", "start", "end", "live", "owners", "repos")
     if texts is not None:
-        known = rows.where(F.col("kind") != "bare").join(verdict.where("live"), "hash", "left_semi").select(F.xxhash64("value").alias("h"), "value").distinct()
         judged = judged.union(bare_spans(texts, known, max_owners))
     return judged.distinct()
 
@@ -125,20 +139,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> DataF
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("key"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), t.alias("text"))
 
 
-def _by_document(found: DataFrame, max_owners: int, texts: DataFrame) -> DataFrame:
+def _by_document(found: DataFrame, max_owners: int, max_repos: int, texts: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    each = F.struct("start", place.alias("place"), "end", "kind", "live")
-    return spans(found, max_owners, texts).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(each)).alias("s"))
+    each = F.struct("start", place.alias("place"), "end", "kind", "live", "owners", "repos")
+    return spans(found, max_owners, max_repos, texts).groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(each)).alias("s"))
 
 
 def _is(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example for every row."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repos for every row.
+
+    The last two are the most owners and repositories that a value among the row's spans has.
+    """
     found = tk.materialize(candidates(docs, id_col, text_col, owner_col, repo_cols))
-    per = _by_document(found, max_owners, _texts(docs, id_col, text_col, owner_col))
+    per = _by_document(found, max_owners, max_repos, _texts(docs, id_col, text_col, owner_col))
     keys = found.select("doc_id", "key")
     # a bare span that overlaps a base one says nothing new
     base = F.filter("s", lambda x: x["kind"] != "bare")
@@ -150,20 +167,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         *(count(_is(k)).alias(f"n_{k}") for k in KINDS[:3]),
         told(base).alias("base"), told(fresh).alias("spans"),
         F.size(F.filter(fresh, lambda x: x["live"])).cast("bigint").alias("n_live"), F.size(F.filter(fresh, lambda x: ~x["live"])).cast("bigint").alias("n_example"),
+        F.array_max(F.transform(fresh, lambda x: x["owners"])).alias("most_owners"), F.array_max(F.transform(fresh, lambda x: x["repos"])).alias("most_repos"),
     )
     joined = keys.join(per, keys["doc_id"].eqNullSafe(per["d"]) & (keys["key"] == per["k"]), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return joined.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), n("n_live"), n("n_example"))
+    return joined.select("doc_id", n("n_assign"), n("n_access"), n("n_hex"), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), n("n_live"), n("n_example"), n("most_owners"), n("most_repos"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live credential of every text replaced by ``mark``; examples stay.
 
     The columns are those of ``docs``; n_chars, if there is one, follows the text.
     """
     found = tk.materialize(candidates(docs, id_col, text_col, owner_col, repo_cols))
     d, k, s, i, key = tk.unused(docs, "d", "k", "s", "i", "key")
-    live = spans(found, max_owners, _texts(docs, id_col, text_col, owner_col)).where("live").groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(s))
+    live = spans(found, max_owners, max_repos, _texts(docs, id_col, text_col, owner_col)).where("live").groupBy(F.col("doc_id").alias(d), F.col("key").alias(k)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(s))
+    live = tk.small(tk.materialize(live), BROADCAST)
     t = F.col(text_col)
     keyed = docs.withColumn(i, F.col(id_col).cast("bigint")).withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(t, F.lit(""))))
     joined = keyed.join(live, F.col(i).eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left")

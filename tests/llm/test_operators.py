@@ -444,3 +444,37 @@ def test_benchmark_blocks(spark, monkeypatch):
     one = sorted(map(str, decontam.scan(H.docs(spark, texts), bench).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     assert sorted(map(str, decontam.scan(H.docs(spark, texts), bench).collect())) == one
+
+
+# joins on hot keys
+
+
+def test_join_of_hot_keys(spark):
+    from lamina.llm import textkit as tk
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    per = tk.materialize(rows.where("k % 2 = 0").groupBy("k").agg(F.count("*").alias("n")))
+    for how in ("left", "inner"):
+        hot = tk.join_hot(rows, per, ["k"], "n", 6000, how)
+        assert sorted(hot.collect(), key=str) == sorted(rows.join(per, ["k"], how).collect(), key=str)
+    plan = tk.join_hot(rows, per, ["k"], "n", 6000)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_components_of_a_hub(spark):
+    edges = [(10, 5000 + i) for i in range(3000)] + [(3, 10), (7, 9), (9, 8), (5, 5)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), stars=True).collect()}
+    assert got == {10: 3, 8: 7, 9: 7} | {5000 + i: 3 for i in range(3000)}
+
+
+def test_repositories_and_owners_decide(spark):
+    value = "Zk39xLq8Tt71mMvV"
+    few = [(i, f'password = "{value}"', "o1", f"l{i}") for i in range(4)]
+    many = [(10 + i, f"token: {value[::-1]} x", "o2", f"l{i}") for i in range(5)]
+    wide = [(20 + i, f"secret={value}abc", f"o{i}", "l") for i in range(3)]
+    bare = [(30, f"see {value} here", "o9", "l"), (31, f"see {value[::-1]} here", "o9", "l")]
+    df = spark.createDataFrame(few + many + wide + bare, "doc_id bigint, text string, source string, lang string")
+    got = {r.doc_id: (r.n_live, r.n_example, r.most_owners, r.most_repos) for r in secrets.scan(df).collect()}
+    assert got == {i: (1, 0, 1, 4) for i in range(4)} | {10 + i: (0, 1, 1, 5) for i in range(5)} | {20 + i: (0, 1, 3, 3) for i in range(3)} | {30: (1, 0, 1, 4), 31: (0, 0, 0, 0)}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == '[SECRET]"' and clean[10] == many[0][1] and clean[30] == "see [SECRET] here"
