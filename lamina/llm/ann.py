@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order of its ``LENGTH`` nearest pivots.  The index posts every
-vector in the inverted file of each of these pivots, with its place in the order; about half
-of all vectors are in each file, so a file is a dense array of places.  A query reads the
+vector in the inverted file of each of these pivots, with its place in the order; a quarter
+of all vectors is in each file, so a file is an array of places.  A query reads the
 files of its own pivots, ranks the vectors by truncated footrule distance, and reranks the
 best by the exact inner product in double precision.  Index and queries are cut into blocks
 of bounded size that meet in an equi-join on the block number; the best of all blocks are
-merged by a windowed top-k.
+merged by a windowed top-k.  A query visits every block: neighbours of directions in many
+dimensions are spread over most pivots.
 
 Pivots come from a bounded sample; every valid row is indexed, none is capped.  Defined
 results: rows whose id or vector is null, or whose vector is zero, empty, of another length
 than most of the sample, or has a null or non-finite component, take no part; rows
-with the query's own id aren't its neighbours; equal scores go to the smaller id.
+with the query's own id aren't its neighbours; equal scores go to the smaller id; rows that
+repeat id and vector count once, as queries and as candidates; an id with several vectors is a
+candidate with each, and asks with all of them for one common list; an empty table has no
+answers; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import functions as F
 
 from lamina.llm.decontam import ranges
 
-PIVOTS, LENGTH, BLOCK, QUERY_BLOCK = 256, 128, 8192, 1024
-#: Rows that a block reranks for a query: this share of it, and this many at least.
-SHARE, LEAST = 0.25, 2048
+PIVOTS, LENGTH, BLOCK, QUERY_BLOCK = 256, 64, 4096, 1024
+#: Rows that a block reranks for a query, best by footrule first.
+RERANK = 1024
+MOST_TASKS = 20_000
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
@@ -55,8 +60,8 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: int):
         x, owner = np.unique(x.astype(np.float64), axis=0, return_inverse=True)
-        by = np.lexsort((ids, owner))
-        self.ids, self.first = ids[by], np.searchsorted(owner[by], np.arange(len(x) + 1))
+        named = np.unique(np.stack([owner.ravel().astype(np.int64), ids.astype(np.int64)], 1), axis=0)
+        self.ids, self.first = named[:, 1].copy(), np.searchsorted(named[:, 0], np.arange(len(x) + 1))
         self.columns = np.ascontiguousarray(x.T)
         order = orders(x, pivots, length)
         #: for each pivot, ``length`` less the vector's place, 0 for vectors that aren't posted
@@ -66,18 +71,23 @@ class Block:
     def search(self, key: int, q: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows for one query."""
         n, length = self.columns.shape[1], len(order)
-        take = max(LEAST, int(SHARE * n))
+        take = max(RERANK, k)
         if n > take + 1:
             # the footrule distance falls by twice the smaller of both weights for each shared pivot
-            near = np.zeros(n, np.int32)
+            near, shared = np.zeros(n, np.uint16), np.empty(n, np.uint8)
             for place, p in enumerate(order.tolist()):
-                near += np.minimum(self.files[p], np.uint8(length - place))
-            rows = np.argpartition(-near, take)[: take + 1]
+                np.minimum(self.files[p], np.uint8(length - place), out=shared)
+                near += shared
+            rows = np.argpartition(near, n - take - 1)[n - take - 1 :]
         else:
             rows = np.arange(n)
         score = np.zeros(len(rows))
         for column, v in zip(self.columns, q.tolist(), strict=True):
             score += column[rows] * v
+        # the k-th best vector bounds the scores that count; the query's own id may be one of them
+        if len(rows) > k + 1:
+            good = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            rows, score = rows[good], score[good]
         copies = self.first[rows + 1] - self.first[rows]
         ids = self.ids[ranges(self.first[rows], copies)]
         score = np.repeat(score, copies)
@@ -126,6 +136,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     def queries(key: tuple, t: pa.Table) -> pa.Table:
         ids, x = vectors_of(t)
+        # repeated rows ask once
+        named = np.unique(np.concatenate([ids.view(np.float64)[:, None], x], 1).view(np.int64), axis=0, return_index=True)[1] if len(ids) else np.zeros(0, np.int64)
+        ids, x = ids[named], x[named]
         return pa.table({"queries": pa.array([pickle.dumps((ids, x, orders(x, pivots, length).astype(np.int16)))], pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +151,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
 
     spread = F.pmod(F.xxhash64("id", "v"), F.lit(n_blocks))
-    indexed = rows.select("id", "v", spread.alias("block")).groupBy("block").applyInArrow(index, "block bigint, files binary")
+    # a block for a task: they are few, and each is work enough
+    tasks = min(2 * n_blocks, MOST_TASKS)
+    indexed = rows.select("id", "v", spread.alias("block")).repartition(tasks, "block").groupBy("block").applyInArrow(index, "block bigint, files binary")
     asked = (
         rows.where("q").select("id", "v", F.pmod(F.xxhash64("v", "id"), F.lit(n_query_blocks)).alias("part"))
         .groupBy("part").applyInArrow(queries, "queries binary")
         .select("queries", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     )
-    found = indexed.join(asked, "block").select("block", "files", "queries").mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
+    found = indexed.join(asked.repartition(tasks, "block"), "block").select("block", "files", "queries").mapInArrow(meet, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

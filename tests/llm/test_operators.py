@@ -478,3 +478,49 @@ def test_repositories_and_owners_decide(spark):
     assert got == {i: (1, 0, 1, 4) for i in range(4)} | {10 + i: (0, 1, 1, 5) for i in range(5)} | {20 + i: (0, 1, 3, 3) for i in range(3)} | {30: (1, 0, 1, 4), 31: (0, 0, 0, 0)}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[0] == '[SECRET]"' and clean[10] == many[0][1] and clean[30] == "see [SECRET] here"
+
+
+# nearest neighbours over several blocks
+
+
+def answers(df):
+    out = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def directions(n, width, seed):
+    rnd = np.random.default_rng(seed)
+    x = rnd.normal(size=(n, width))
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+
+
+def test_nearest_over_blocks_with_repeated_rows(spark, monkeypatch):
+    x = directions(700, 8, 6)
+    x[50:80] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += rows[:200] + [(41, x[41].tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(7)
+    one = answers(df)
+    for q, found in one.items():
+        s = x @ x[q]
+        assert len({v for v, _ in found}) == len(found) == 20
+        assert [v for v, _ in found] == [int(i) for i in np.lexsort((np.arange(700), -np.round(s, 12))) if i != q][:20]
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 9)
+    assert answers(df) == one
+
+
+@pytest.mark.parametrize(("n", "width"), [(2500, 64), (9000, 48)])
+def test_nearest_recall(spark, n, width):
+    x = directions(n, width, n)
+    x[n // 2 : n // 2 + n // 20] = x[3] + 1e-3 * x[n // 2 : n // 2 + n // 20]
+    found = answers(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"))
+    hits = 0
+    for q, got in found.items():
+        s = x @ x[q]
+        s[q] = -9
+        best = np.sort(s)[-20] - 1e-12
+        hits += sum(s[v] >= best for v, _ in got)
+    assert len(found) == n // 20 and hits >= 0.9 * 20 * len(found)
