@@ -8,25 +8,31 @@ each map task links the sets with an equal head by a star and posts each head on
 owners of all tasks meet in stars again; no posting list is ever collected and no pairs are
 emitted.  The components of the stars are families; linked sets are in one family.  (Single
 prefix tokens instead of heads join a corpus into one family: common shingles percolate.)
+Tokens that a count sketch over the whole corpus finds common are left out of the heads, for
+what differs in few tokens differs in few rare ones; sets with too few rare tokens to fill
+their heads post heads of all tokens besides.
 
 Within a family the exact token counts give further global orders.  A candidate must share a
 prefix token under each of them, the filters are intersected, and only then is a pair
 verified on the whole sets.  In families of more than ``BLOCK`` sets, those that link with a
 pivot are one component at once; only the others are compared with all, by blocks.
 
-Documents with equal sets are one node (least id).  Shingles are compared by 52-bit hashes,
-sets are told apart by 128 bits.  Defined results: null text and text without words have an
-empty set and link with nothing; rows that repeat an id with another text count as one
-document; a null id has no say in a component's id.
+Documents with equal sets are one node (least id); sets too small to link with any other set
+post nothing.  Shingles are compared by 52-bit hashes, sets are told apart by 128 bits.
+Defined results: null text and text without words have an empty set and link with nothing;
+rows that repeat an id with another text count as one document; a null id has no say in a
+component's id; very long texts are whole sets, and blocks are bounded by their tokens; an
+empty table gives no rows; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm import graph
@@ -36,6 +42,10 @@ from lamina.llm.decontam import ranges
 PERCENT, WORDS, BLOCK = 90, 3, 2048
 #: Heads beyond the pigeonhole's need: so many may be empty without being posted.
 SPARE = 2
+#: Cells of the count sketch (so many bits reach the driver), and its slices.
+CELLS, SLICES = 1 << 20, 16
+#: Tokens of one block of a family.
+BLOCK_TOKENS = 1 << 21
 _POST = 1_000_000
 _NULL_ID = 1 << 62
 _ROWS, _ROW_SHIFT = 1 << 12, np.uint64(52)
@@ -111,11 +121,54 @@ def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first[:-2]), np.array(orders)
 
 
-def heads(token: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the heads of each set under the orders of its own class and the class before."""
+def least_size(percent: int) -> int:
+    """Smaller sets link with equal ones only."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 60
+
+
+def cells(token: np.ndarray) -> np.ndarray:
+    return (tk.mix(token ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def common_cells(texts: DataFrame, k: int) -> np.ndarray:
+    """Cells that count far more sets than most do, as packed bits; all texts are counted."""
+
+    @tk.tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for _, _, d, o in small_chunks(*tk.buffers(batch.column(0))):
+                total += np.bincount(cells(shingles(d, o, k)[0]), minlength=CELLS)
+        part = CELLS // SLICES
+        packed = [zlib.compress(np.minimum(total[i * part : (i + 1) * part], (1 << 32) - 1).astype(np.uint32).tobytes(), 1) for i in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+
+    @tk.tidy
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS // SLICES, np.uint64)
+        for batch in parts:
+            for c in batch.column("counts"):
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        usual = float(np.median(total))
+        bits = np.packbits(total > usual + 6 * usual**0.5 + 8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
+
+    found = {r.slice: r.bits for r in texts.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()}
+    none = bytes(CELLS // SLICES // 8)
+    return np.frombuffer(b"".join(found.get(i, none) for i in range(SLICES)), np.uint8)
+
+
+def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the heads of each set under the orders of its own class and the class before.
+
+    With ``rare``, heads are of the tokens that it marks; sets that have more empty ones than
+    are to spare post heads of all tokens, too.  Of two linked sets, either one has not, and
+    both share a rare head that isn't empty, or both post all.
+    """
     size = np.diff(begin)
     if not len(token):
         return token, np.zeros(0, np.int64)
+    rare = np.ones(len(token), bool) if rare is None else rare
     first, orders = size_classes(percent, int(size.max()))
     own = np.searchsorted(first, size, "right") - 1
     keys, rows = [], []
@@ -128,17 +181,24 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarra
         part = ((hashed >> np.uint64(32)) * use.astype(np.uint64)) >> np.uint64(32)
         slot = (np.repeat(at, size) + part.astype(np.int64))[use > 0]
         value = tk.mix(hashed ^ np.uint64(0x94D049BB133111EB))[use > 0]
-        order = np.argsort(slot, kind="stable")
-        filled = np.bincount(slot, minlength=int(m.sum()))
-        head = sums(value[order], np.concatenate([[0], np.cumsum(filled)]))
+        some = rare[use > 0]
         owner = np.repeat(np.arange(len(m)), m)
         place = np.arange(len(owner)) - at[owner]
-        # empty heads are posted only by the few sets that have more of them than are to spare
-        empty = np.bincount(owner[filled == 0], minlength=len(m))
-        post = (filled > 0) | (empty > SPARE)[owner]
-        key = tk.mix(head + tk.mix((np.maximum(c, 0)[owner].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)))
-        keys.append(key[post])
-        rows.append(owner[post])
+        named = tk.mix((np.maximum(c, 0)[owner].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+        lacking = np.ones(len(m), bool)
+        for only in (some, None):
+            of, what = (slot, value) if only is None else (slot[only], value[only])
+            order = np.argsort(of, kind="stable")
+            filled = np.bincount(of, minlength=int(m.sum()))
+            head = sums(what[order], np.concatenate([[0], np.cumsum(filled)]))
+            empty = np.bincount(owner[filled == 0], minlength=len(m))
+            if only is None:
+                # empty heads are posted only by the few sets that have more of them than are to spare
+                post = ((filled > 0) | (empty > SPARE)[owner]) & lacking[owner]
+            else:
+                post, lacking = filled > 0, empty > SPARE
+            keys.append(tk.mix(head + named + np.uint64(only is None))[post])
+            rows.append(owner[post])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -159,6 +219,30 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
 
 
+def pack(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) with compressed texts: they are shuffled more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
+        for batch in batches:
+            packed = [None if t is None else len(t).to_bytes(8, "big") + codec.compress(t, asbytes=True) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "text"])
+
+    return texts.mapInArrow(run, "doc_id bigint, text binary")
+
+
+def unpacked(packed: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Chunks as ``small_chunks`` has them, of compressed texts."""
+    codec, held, size, first = pa.Codec("zstd"), [], 0, 0
+    for i, p in enumerate(packed):
+        raw = b"" if (p := p.as_py()) is None else codec.decompress(p[8:], int.from_bytes(p[:8], "big"), asbytes=True)
+        held.append(raw)
+        size += len(raw)
+        if size >= tk.CHUNK_BYTES or len(held) == _ROWS or i == len(packed) - 1:
+            yield first, i + 1, np.frombuffer(b"".join(held), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            held, size, first = [], 0, i + 1
+
+
 def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Edges (2, k) from each key's least owner to its others; the keys and their least owners."""
     order = np.argsort(key)
@@ -176,6 +260,8 @@ def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
     """Edges (a, b) between first signature halves of sets with an equal head under some order."""
     shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
+    least = least_size(percent)
+    common = docs.sparkSession.sparkContext.broadcast(common_cells(docs, k))
 
     def emit(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         edges, key, owner = _stars(key, owner)
@@ -186,12 +272,13 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
         # local edges go out in pieces under buckets of their own
         edges = np.stack(graph.star(edges[0], edges[1]))
         mine = [edges[:, a : a + 65536].tobytes() for a in range(0, edges.shape[1], 65536)]
-        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *(-1 - i % 64 for i in range(len(mine)))], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *tk.own_keys(edges[0], len(mine), buckets)], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, owners, held = [], [], 0
+        bits = common.value
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
             for _, _, d, o in small_chunks(data, off):
@@ -200,13 +287,15 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
                 # sets that this task has posted are left out
                 fresh = np.zeros(len(mine), bool)
                 for i, x in enumerate(mine.tolist()):
-                    if x not in seen and begin[i + 1] > begin[i]:
+                    if x not in seen and begin[i + 1] - begin[i] >= least:
                         seen.add(x)
                         fresh[i] = True
                 size = np.diff(begin)
                 token = token[np.repeat(fresh, size)]
                 mine, size = mine[fresh], size[fresh]
-                key, row = heads(token, np.concatenate([[0], np.cumsum(size)]), percent)
+                cell = cells(token)
+                rare = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
+                key, row = heads(token, np.concatenate([[0], np.cumsum(size)]), percent, rare)
                 keys.append(key)
                 owners.append(mine[row])
                 held += len(key)
@@ -319,11 +408,10 @@ def _family_links(k: int, percent: int):
             return r
 
         for batch in batches:
-            data, off = tk.buffers(batch.column("text"))
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("family", "i", "j", "blocks")), strict=True))
             node, block = batch.column("node").to_pylist(), batch.column("block").to_pylist()
             s1, s2 = batch.column("s1").to_pylist(), batch.column("s2").to_pylist()
-            for first, end, d, o in small_chunks(data, off):
+            for first, end, d, o in unpacked(batch.column("text")):
                 token, begin = shingles(d, o, k)
                 one, two = signatures(token, begin)
                 for x in range(first, end):
@@ -357,25 +445,30 @@ def _around_pivot(members: DataFrame, k: int, percent: int) -> DataFrame:
         for batch in batches:
             core = []
             owners, origin = batch.column("pivot").to_pylist(), batch.column("ptext")
-            data, off = tk.buffers(batch.column("text"))
-            for a, b, d, o in small_chunks(data, off):
+            for a, b, d, o in unpacked(batch.column("text")):
                 token, begin = shingles(d, o, k)
                 for x in range(a, b):
                     if owners[x] != seen:
-                        seen, (center, _) = owners[x], shingles(*tk.buffers(origin[x : x + 1]), k)
+                        seen, (center, _) = owners[x], shingles(*next(unpacked(origin[x : x + 1]))[2:], k)
                     s = token[begin[x - a] : begin[x - a + 1]]
                     both = len(np.intersect1d(s, center, assume_unique=True))
                     core.append(100 * both >= percent * (len(s) + len(center) - both))
-            keep = [batch.column(c) for c in ("family", "node", "s1", "s2", "text", "pivot")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(core, pa.bool_())], names=["family", "node", "s1", "s2", "text", "pivot", "core"])
+            kept = ["family", "node", "n", "s1", "s2", "text", "pivot"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(core, pa.bool_())], names=[*kept, "core"])
+
+    joined = members.join(pivots, F.col("family") == F.col("f")).select("family", "node", "n", "s1", "s2", "text", "pivot", "ptext")
+    return joined.mapInArrow(run, "family bigint, node bigint, n bigint, s1 bigint, s2 bigint, text binary, pivot bigint, core boolean")
+
 
-    joined = members.join(pivots, F.col("family") == F.col("f")).select("family", "node", "s1", "s2", "text", "pivot", "ptext")
-    return joined.mapInArrow(run, "family bigint, node bigint, s1 bigint, s2 bigint, text string, pivot bigint, core boolean")
+def _blocks(which: Column, block: int) -> Column:
+    """How many blocks the sets that ``which`` picks need, by their number and their tokens."""
+    rows, tokens = F.count_if(which) / F.lit(block), F.sum(F.when(which, F.col("n")).otherwise(0)) / F.lit(BLOCK_TOKENS)
+    return F.ceil(F.greatest(rows, tokens)).cast("int")
 
 
 def _block_pairs(around: DataFrame, block: int) -> DataFrame:
     """Members of large families under each pair of blocks that has a block without core members."""
-    sizes = around.groupBy("family").agg(F.ceil(F.count_if(~F.col("core")) / F.lit(block)).cast("int").alias("others"), F.ceil(F.count_if("core") / F.lit(block)).cast("int").alias("cores"))
+    sizes = around.groupBy("family").agg(_blocks(~F.col("core"), block).alias("others"), _blocks(F.col("core"), block).alias("cores"))
     rows = around.join(sizes, "family")
     hashed = F.xxhash64("s2", "s1")
     rows = rows.withColumn("block", F.when(F.col("core"), F.col("others") + F.pmod(hashed, F.greatest("cores", F.lit(1)))).otherwise(F.pmod(hashed, F.greatest("others", F.lit(1)))).cast("int"))
@@ -390,17 +483,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = tk.materialize(profile(texts, words))
     node = F.coalesce(F.min("doc_id"), F.first("s1").bitwiseAND(F.lit(_NULL_ID - 1)).bitwiseOR(F.lit(_NULL_ID)))
-    nodes = rows.where("n > 0").groupBy("s1", "s2").agg(node.alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    nodes = tk.materialize(rows.where("n > 0").groupBy("s1", "s2").agg(node.alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("copies")))
+    n_rows, total = rows.agg(F.count("*"), F.sum("n")).first()
+    total = total or 0
     buckets = min(1 << 20, max(32, int(total * 4 * (100 - percent) / 100 / _POST)))
     edges = family_edges(texts, buckets, words, percent)
     family = graph.components(edges, stars=True)
     family = family.union(family.select("root", "root").distinct())
-    members = nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family")
-    members = tk.materialize(members)
-    blocks = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = members.join(blocks, "family")
-    with_text = members.join(texts.withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "s1", "s2", "text")
+    members = tk.materialize(nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family").drop("copies"))
+    blocks = tk.materialize(members.groupBy("family").agg(_blocks(F.lit(True), block).alias("blocks"), F.count("*").alias("size")).where("size > 1"))
+    members = tk.materialize(tk.join_hot(members, blocks, ["family"], "size", members.count()))
+    with_text = members.join(pack(texts).withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "n", "s1", "s2", "text")
+    with_text = tk.materialize(with_text)
     zero = F.lit(0)
     spread = with_text.where("blocks = 1").select("family", zero.alias("i"), zero.alias("j"), "blocks", zero.alias("block"), "node", "s1", "s2", "text")
     large, near = not members.where("blocks > 1").isEmpty(), None
@@ -413,8 +507,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     roots = links.where("NOT big").select(F.col("a").alias("node"), F.col("b").alias("root"))
     if large:
         roots = roots.union(graph.components(links.where("big").select("a", "b").union(near), stars=True))
-    own = nodes.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
-    joined = rows.join(own, ["s1", "s2"], "left")
+    own = tk.materialize(nodes.join(roots, "node", "left").select("s1", "s2", "copies", F.coalesce("root", "node").alias("root")))
+    joined = tk.join_hot(rows, own, ["s1", "s2"], "copies", n_rows, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("root") < _NULL_ID, F.col("root"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

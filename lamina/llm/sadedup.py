@@ -123,12 +123,6 @@ def anchors(data: np.ndarray, off: np.ndarray, levels: np.ndarray, size: int, k:
     return np.searchsorted(off, lo, "right") - 1, lo, start[last], h[least[first]]
 
 
-def own_keys(names: np.ndarray, n: int, keys: int) -> list[int]:
-    """Negative keys under which a task's own results go out, spread over as many as there are others."""
-    first = int(names[0]) if len(names) else 0
-    return [-1 - (first + i) % keys for i in range(n)]
-
-
 def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: int, k: int) -> DataFrame:
     """(h1, lo) of pieces whose anchor occurs at two places of distinct texts."""
     shared = texts.sparkSession.sparkContext.broadcast(levels)
@@ -160,7 +154,7 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
         cut = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]]))).tolist()
         packed = [np.stack([key[a:b].view(np.int64), text[a:b], lo[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
         mine = [found[:, a : a + 65536].tobytes() for a in range(0, found.shape[1], 65536)]
-        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *own_keys(text, len(mine), buckets)], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
+        return pa.RecordBatch.from_arrays([pa.array([*bucket[cut[:-1]].tolist(), *tk.own_keys(text, len(mine), buckets)], pa.int64()), pa.array([*packed, *mine], pa.binary())], names=["bucket", "body"])
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +232,7 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short
             shard, body = list(by), [pickle.dumps((part(v, 1), part(v, 2), part(v, 3), [len(held[i][4]) for i in v], b"".join(part(v, 4)))) for v in by.values()]
             if direct:
                 found = np.array(direct, np.int64).T
-                shard += own_keys(found[0], 1, shards)
+                shard += tk.own_keys(found[0], 1, shards)
                 body.append(pickle.dumps(found))
             return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(body, pa.binary())], names=["shard", "body"])
 
