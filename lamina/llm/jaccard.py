@@ -27,6 +27,7 @@ empty table gives no rows; other columns, whatever their names, are passed over.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -40,10 +41,12 @@ from lamina.llm import textkit as tk
 from lamina.llm.decontam import ranges
 
 PERCENT, WORDS, BLOCK = 90, 3, 2048
-#: Heads beyond the pigeonhole's need: so many may be empty without being posted.
+#: Heads beyond the pigeonhole's need, which may be empty without being posted: so many, and half as many again as a class's smallest set is likely to leave empty.
 SPARE = 2
 #: Cells of the count sketch (so many bits reach the driver), and its slices.
 CELLS, SLICES = 1 << 20, 16
+#: Rows without texts that may be broadcast.
+BROADCAST = 100_000
 #: Tokens of one block of a family.
 BLOCK_TOKENS = 1 << 21
 _POST = 1_000_000
@@ -107,8 +110,8 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """First sizes of classes such that linked sets lie in one class or in neighbours; orders of each class.
+def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First sizes of classes such that linked sets lie in one class or in neighbours; orders of each class, and how many of them are to spare.
 
     Class c serves pairs of the classes c and c + 1: with sizes up to b, linked sets differ
     in at most 2 b (100 - percent) / (100 + percent) tokens.
@@ -117,8 +120,14 @@ def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     while first[-1] <= largest:
         first.append(first[-1] * 100 // percent + 1)
     first += [first[-1] * 100 // percent + 1, first[-1] * 200 // percent + 2]
-    orders = [2 * (b - 1) * (100 - percent) // (100 + percent) + 1 + SPARE for b in first[2:]]
-    return np.array(first[:-2]), np.array(orders)
+    need = [2 * (b - 1) * (100 - percent) // (100 + percent) + 1 for b in first[2:]]
+    spare = []
+    for n, least in zip(first, need, strict=False):
+        s = SPARE
+        for _ in range(8):  # more orders leave more heads empty
+            s = min(SPARE + n // 8, SPARE + int(1.5 * (least + s) * math.exp(-n / (least + s))))
+        spare.append(s)
+    return np.array(first[:-2]), np.array(need) + np.array(spare), np.array(spare)
 
 
 def least_size(percent: int) -> int:
@@ -169,13 +178,14 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray |
     if not len(token):
         return token, np.zeros(0, np.int64)
     rare = np.ones(len(token), bool) if rare is None else rare
-    first, orders = size_classes(percent, int(size.max()))
+    first, orders, spare = size_classes(percent, int(size.max()))
     own = np.searchsorted(first, size, "right") - 1
     keys, rows = [], []
     hashed = tk.mix(token)
     for back in (0, 1):
         c = own - back
         m = np.where((size > 0) & (c >= 0), orders[np.maximum(c, 0)], 0)
+        to_spare = spare[np.maximum(c, 0)]
         use = np.repeat(m, size)
         at = np.cumsum(m) - m
         part = ((hashed >> np.uint64(32)) * use.astype(np.uint64)) >> np.uint64(32)
@@ -194,9 +204,9 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray |
             empty = np.bincount(owner[filled == 0], minlength=len(m))
             if only is None:
                 # empty heads are posted only by the few sets that have more of them than are to spare
-                post = ((filled > 0) | (empty > SPARE)[owner]) & lacking[owner]
+                post = ((filled > 0) | (empty > to_spare)[owner]) & lacking[owner]
             else:
-                post, lacking = filled > 0, empty > SPARE
+                post, lacking = filled > 0, empty > to_spare
             keys.append(tk.mix(head + named + np.uint64(only is None))[post])
             rows.append(owner[post])
     return np.concatenate(keys), np.concatenate(rows)
@@ -493,6 +503,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = tk.materialize(nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family").drop("copies"))
     blocks = tk.materialize(members.groupBy("family").agg(_blocks(F.lit(True), block).alias("blocks"), F.count("*").alias("size")).where("size > 1"))
     members = tk.materialize(tk.join_hot(members, blocks, ["family"], "size", members.count()))
+    members = tk.small(members, BROADCAST)
     with_text = members.join(pack(texts).withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "n", "s1", "s2", "text")
     with_text = tk.materialize(with_text)
     zero = F.lit(0)
