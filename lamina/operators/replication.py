@@ -57,6 +57,23 @@ def quorum(peers: DataFrame, timeout_ms: int) -> DataFrame:
     return per.select("cluster", "reachable", needed(F.col("n")).alias("needed"), (F.col("reachable") < needed(F.col("n"))).alias("step_down"))
 
 
+def _gap(entries: DataFrame, last: int, most: int, parts: int = 256) -> int:
+    """The last of the indexes last + 1, last + 2, ... that all have an entry.
+
+    The interval that holds the first gap is the first one that isn't full; it is narrowed by
+    counting ``parts`` intervals at a time, so nothing is sorted.
+    """
+    while most > last:
+        width = -(-(most - last) // parts)
+        held = entries.where((F.col("idx") > last) & (F.col("idx") <= most)).groupBy(F.floor((F.col("idx") - F.lit(last + 1)) / width).alias("i")).agg(F.count("*").alias("n")).collect()
+        full = {r.i for r in held if r.n == min(width, most - last - r.i * width)}
+        i = next(i for i in range(parts + 1) if i not in full)
+        last, most = min(most, last + i * width), min(most, last + (i + 1) * width)
+        if width == 1:
+            break
+    return last
+
+
 def merge_logs(own: DataFrame, incoming: DataFrame) -> DataFrame:
     """Append entries: the first index whose terms differ truncates all from there; equal entries stay.
 
@@ -67,11 +84,10 @@ def merge_logs(own: DataFrame, incoming: DataFrame) -> DataFrame:
     kept = own if conflict is None else own.where(F.col("idx") < conflict)
     last = kept.agg(F.max("idx")).first()[0] or 0
     fresh = incoming.where(F.col("idx") > last)
-    # indexes are unique, so entries without a gap are those whose index is their place
+    # indexes are unique, so without a gap the greatest one follows from their number
     count, most = fresh.agg(F.count("*"), F.max("idx")).first()
     if count and most != last + count:
-        w = Window.orderBy("idx")
-        fresh = fresh.withColumn("n", F.row_number().over(w)).where(F.col("idx") == last + F.col("n")).drop("n")
+        fresh = fresh.where(F.col("idx") <= _gap(fresh, last, most))
     return kept.withColumn("origin", F.lit("kept")).unionByName(fresh.withColumn("origin", F.lit("appended")))
 
 

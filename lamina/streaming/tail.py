@@ -1,8 +1,9 @@
-"""A log tail as a stream: each micro-batch is folded into a versioned snapshot.
+"""A log tail as a stream: each micro-batch is appended to a store, whose snapshot is the fold.
 
-A batch that runs again after a failure writes the same version again, from the version
-before it; last-writer-wins makes the fold itself idempotent.  The snapshot keeps tombstones,
-so late and out-of-order records are judged by their sequence.
+A batch that runs again after a failure replaces its own log batch; last-writer-wins makes
+the fold itself idempotent.  The store keeps tombstones until compaction, so late and
+out-of-order records are judged by their sequence.  A batch costs what it brings: the log is
+flushed and a level compacted only every ``FLUSH_EVERY`` batches, and old files go with that.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lamina.operators import versions
+from lamina.plans.store import Store
+
+FLUSH_EVERY = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,30 +27,24 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def fold(stream: DataFrame, folder: str) -> str | None:
-    """Runs all that is available of a stream of mutations; the path of the last snapshot version."""
-    spark = stream.sparkSession
-    last: list[str] = []
+def fold(stream: DataFrame, folder: str) -> Store:
+    """Runs all that is available of a stream of mutations; the store that holds the result."""
+    store = Store(stream.sparkSession, f"{folder}/store")
 
     def step(batch: DataFrame, number: int) -> None:
-        path = f"{folder}/snapshot/v{number:08d}"
-        before = spark.read.parquet(f"{folder}/snapshot/v{number - 1:08d}") if number else None
-        rows = batch.select("key", "seq", "deleted", "value")
-        versions.latest(rows if before is None else before.unionByName(rows)).write.mode("overwrite").parquet(path)
-        last[:] = [path]
+        store.apply(batch.select("key", "seq", "deleted", "value"), batch=number + 1)
+        if number % FLUSH_EVERY == FLUSH_EVERY - 1:
+            store.flush()
+            store.compact()
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return last[0] if last else None
+    return store
 
 
 def snapshot(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Live (key, value) rows after all that is available."""
-    spark = stream.sparkSession
-    path = fold(stream, folder or f"{shared_folder(spark)}/tail-{uuid.uuid4().hex}")
-    if path is None:
-        return spark.createDataFrame([], "key string, value string")
-    return versions.live(spark.read.parquet(path)).select("key", "value")
+    return fold(stream, folder or f"{shared_folder(stream.sparkSession)}/tail-{uuid.uuid4().hex}").snapshot()
 
 
 def counts(stream: DataFrame) -> DataFrame:
