@@ -6,7 +6,7 @@ null where a payload is too short; bytes after the last field are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import codec
@@ -100,3 +100,27 @@ def open_frame(data: Column) -> Column:
     size = codec.from_big_endian(_cut(data, F.lit(0), 4))
     ok = F.octet_length(data) >= 8 + size
     return F.when(ok, F.struct(codec.from_big_endian(_cut(data, F.lit(4), 4)).alias("kind"), _cut(data, F.lit(8), size).alias("payload")))
+
+
+def dispatch(requests: DataFrame) -> DataFrame:
+    """(seq, kind, status, found, value): the answers to framed requests (seq, frame), in the order of seq.
+
+    A get sees the last put or delete of its key before it; a key that was never written or
+    is deleted is OK and not found.  Frames that can't be opened or read, and kinds that
+    aren't requests, are answered with ERROR.
+    """
+    opened = requests.withColumn("f", open_frame(F.col("frame")))
+    body = {name: decode(name, F.col("f.payload")) for name in ("get", "put", "delete")}
+    kind = F.lit(None).cast("string")
+    for name in ("get", "put", "delete", "ping"):
+        ok = F.col("f.kind") == KINDS[name]
+        kind = F.when(ok if name == "ping" else ok & body[name].isNotNull(), name).otherwise(kind)
+    rows = opened.withColumn("kind", kind)
+    key = F.coalesce(*(F.when(F.col("kind") == name, body[name]["key"]) for name in body))
+    rows = rows.select("seq", "kind", key.alias("key"), F.when(F.col("kind") == "put", body["put"]["value"]).alias("value"))
+    # pings and what can't be read have no key; by their sequence they aren't dealt to one task
+    w = Window.partitionBy("key", F.when(F.col("key").isNull(), F.col("seq"))).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    written = F.when(F.col("kind").isin("put", "delete"), F.struct("kind", "value"))
+    rows = rows.withColumn("w", F.last(written, ignorenulls=True).over(w))
+    found = F.coalesce((F.col("kind") == "get") & (F.col("w.kind") == "put"), F.lit(False))
+    return rows.select("seq", "kind", F.when(F.col("kind").isNull(), "ERROR").otherwise("OK").alias("status"), found.alias("found"), F.when(found, F.col("w.value").cast("string")).alias("value"))

@@ -49,6 +49,18 @@ class Bloom:
     hashes: int
     data: bytes
 
+    def serialize(self) -> bytes:
+        """The filter as bytes to be stored beside its table: bits and hashes in eight bytes each, then the bit field."""
+        return self.bits.to_bytes(8, "big") + self.hashes.to_bytes(8, "big") + self.data
+
+    @classmethod
+    def load(cls, stored: bytes) -> Bloom:
+        """A filter from its bytes; damaged ones are an error."""
+        bits, k = int.from_bytes(stored[:8], "big"), int.from_bytes(stored[8:16], "big")
+        if len(stored) < 16 or not 1 <= k <= 16 or bits % 8 or len(stored) - 16 != bits // 8 or not bits:
+            raise ValueError("not a stored filter")
+        return cls(bits, k, bytes(stored[16:]))
+
     def fill_ratio(self) -> float:
         return int(np.unpackbits(np.frombuffer(self.data, np.uint8)).sum()) / self.bits
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import codec, messages
 from lamina.operators import bloom, recovery, replication, tables, telemetry, versions
 from lamina.plans import adapters as A
+from lamina.plans.store import Store, StoreConfig
 from lamina.streaming import tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +98,76 @@ def kv_upsert_order_insensitive(spark, sf):
     return versions.snapshot(ops.where("seq % 2 = 0").unionByName(ops.where("seq % 2 = 1")).unionByName(ops.where("seq % 3 = 0")))
 
 
+def _store(spark, **limits) -> Store:
+    return Store(spark, f"{tail.shared_folder(spark)}/store-{uuid.uuid4().hex}", StoreConfig(level0_tables=2, **limits))
+
+
+@_query(LIVE)
+def store_cycle(spark, sf):
+    """Batches out of order, flushed and compacted; a store opened again on the same files answers."""
+    store, ops = _store(spark), A.ops(spark, sf)
+    for part in (2, 0, 3, 1):
+        store.apply(ops.where(F.col("seq") % 4 == part))
+        if part:
+            store.flush()
+    store.compact()
+    return Store(spark, store.path, store.config).snapshot()
+
+
+@_query(LIVE)
+def store_flush_late(spark, sf):
+    """A batch of older sequences that comes after a flush of newer ones is neither hidden nor lost."""
+    store, ops = _store(spark), A.ops(spark, sf)
+    middle = ops.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    store.apply(ops.where(F.col("seq") > middle))
+    store.flush()
+    store.apply(ops.where(F.col("seq") <= middle))
+    store.flush()
+    store.flush()
+    return store.snapshot()
+
+
+@_query(f"SELECT * FROM ({LIVE}) WHERE key >= 'user_0010' AND key < 'user_0050'")
+def store_compact_readers(spark, sf):
+    """A scan planned before a compaction reads the tables of its own version."""
+    store, ops = _store(spark), A.ops(spark, sf)
+    for part in (0, 1):
+        store.apply(ops.where(F.col("seq") % 2 == part))
+        store.flush()
+    planned = store.scan("user_0010", "user_0050")
+    store.compact()
+    return planned
+
+
+@_query("SELECT CAST(1 AS INTEGER) AS level, count(*) AS n_entries, count(*) FILTER (v.deleted) AS n_deletes, min(v.seq) AS min_seq, max(v.seq) AS max_seq, min(key) AS first_key, max(key) AS last_key FROM newest WHERE NOT v.deleted")
+def store_manifest(spark, sf):
+    """What the manifest tells after all tables became one and tombstones had nothing to hide."""
+    store, ops = _store(spark), A.ops(spark, sf)
+    for part in (1, 0):
+        store.apply(ops.where(F.col("seq") % 2 == part))
+        store.flush()
+    store.compact()
+    return store.manifest().select("level", "n_entries", "n_deletes", "min_seq", "max_seq", "first_key", "last_key")
+
+
+_REQUEST = "CASE WHEN event_type = 'error' THEN 'delete' WHEN event_id % 3 = 0 THEN 'put' WHEN event_id % 11 = 5 THEN 'ping' ELSE 'get' END"
+
+
+@_query(f"""WITH r AS (SELECT event_id + 1 AS seq, 'user_' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS key, props, {_REQUEST} AS kind FROM events),
+w AS (SELECT *, last_value(CASE WHEN kind IN ('put', 'delete') THEN seq END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq) AS at FROM r)
+SELECT w.seq, w.kind, 'OK' AS status, w.kind = 'get' AND coalesce(x.kind = 'put', FALSE) AS found, CASE WHEN w.kind = 'get' AND x.kind = 'put' THEN x.props END AS value
+FROM w LEFT JOIN r x ON w.kind = 'get' AND x.seq = w.at""")
+def request_dispatch(spark, sf):
+    """Framed requests are opened, decoded by kind and answered in order by one pass over each key."""
+    e = A.table(spark, sf, "events")
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_id") % 3 == 0, "put").when(F.col("event_id") % 11 == 5, "ping").otherwise("get")
+    sent = e.select((F.col("event_id") + 1).alias("seq"), A.padded(F.col("user_id"), 4, "user_").alias("key"), "props", kind.alias("kind"))
+    frame = F.lit(None).cast("binary")
+    for name in ("get", "put", "delete", "ping"):
+        frame = F.when(F.col("kind") == name, messages.message(name, {"key": F.col("key"), "value": F.col("props")})).otherwise(frame)
+    return messages.dispatch(sent.select("seq", frame.alias("frame")))
+
+
 @_query("SELECT key, count(*) AS versions, count(*) FILTER (NOT deleted) AS puts, count(*) FILTER (deleted) AS deletes FROM a1_ops GROUP BY key")
 def kv_history_depth(spark, sf):
     return versions.history(A.ops(spark, sf))
@@ -182,6 +254,11 @@ def wal_crc(spark, sf):
     return A.ops(spark, sf).select("seq", F.octet_length(payload).alias("bytes"), F.crc32(payload).alias("crc"))
 
 
+@_query("SELECT * FROM (VALUES ('', CAST(0 AS BIGINT)), ('a', 3904355907), ('abc', 891568578), ('123456789', 3421780262)) t(bytes, crc)")
+def crc_known_answers(spark, sf):
+    return spark.createDataFrame([("",), ("a",), ("abc",), ("123456789",)], "bytes string").select("bytes", F.crc32(F.col("bytes").cast("binary")).alias("crc"))
+
+
 @_query("""SELECT seq, CASE WHEN deleted THEN 'DELETE' ELSE 'PUT' END || '|' || strlen(key) || '|' || key || '|' || strlen(value) || '|' || value AS command, deleted, key, value, TRUE AS same FROM a1_ops""")
 def cmd_codec(spark, sf):
     rows = A.ops(spark, sf).select("seq", codec.command(F.col("deleted"), F.col("key"), F.col("value")).alias("c"), "deleted", "key", "value")
@@ -243,8 +320,6 @@ c AS (SELECT *, current_term + 1 AS term FROM ends QUALIFY row_number() OVER (PA
 SELECT v.cluster, c.peer AS candidate, count(*) FILTER (v.peer = c.peer OR (c.term >= v.current_term AND (v.voted_for IS NULL OR v.voted_for = c.peer) AND NOT (v.last_term, v.last_index) > (c.last_term, c.last_index))) AS granted,
 count(*) // 2 + 1 AS needed, granted >= count(*) // 2 + 1 AS won FROM voter v JOIN c ON v.cluster = c.cluster GROUP BY v.cluster, c.peer""")
 def raft_vote_tally(spark, sf):
-    from pyspark.sql import Window
-
     ends = _ends(spark, sf)
     w = Window.partitionBy("cluster").orderBy(F.desc("last_term"), "last_index", "peer")
     candidates = ends.withColumn("n", F.row_number().over(w)).where("n <= 2").withColumn("term", F.col("current_term") + 1)
@@ -254,8 +329,6 @@ def raft_vote_tally(spark, sf):
 @_query("""SELECT cluster, count(*) FILTER (is_leader OR age_ms < 500) AS reachable, count(*) // 2 + 1 AS needed, reachable < count(*) // 2 + 1 AS step_down
 FROM (SELECT cluster, peer = min(peer) OVER (PARTITION BY cluster) AS is_leader, (peer * 373) % 1000 AS age_ms FROM a5_peers) GROUP BY cluster""")
 def raft_quorum(spark, sf):
-    from pyspark.sql import Window
-
     p = A.peers(spark, sf).withColumn("is_leader", F.col("peer") == F.min("peer").over(Window.partitionBy("cluster"))).withColumn("age_ms", F.col("peer") * 373 % 1000)
     return replication.quorum(p, 500)
 
@@ -324,6 +397,21 @@ def bloom_probe(spark, sf):
     return probed.groupBy("is_member").agg(F.count("*").alias("n"), F.count_if("passes").alias("passed")).withColumn("fill_ratio", F.lit(held.fill_ratio()))
 
 
+@_query("SELECT run, count(*) AS n, count(*) AS passed, count(*) AS passed_again FROM a2_runs WHERE level >= 0 GROUP BY run")
+def bloom_members(spark, sf):
+    """Each table's filter, stored as bytes and loaded again, passes all of the table's keys."""
+    rows = A.runs(spark, sf).where("level >= 0").select("run", "key")
+    out = None
+    for r in rows.select("run").distinct().orderBy("run").collect():
+        own = rows.where(F.col("run") == r.run)
+        held = bloom.build(own, "key", 0.01)
+        again = bloom.Bloom.load(held.serialize())
+        one = own.select("run", held.might_contain(F.col("key")).alias("p"), again.might_contain(F.col("key")).alias("q"))
+        one = one.groupBy("run").agg(F.count("*").alias("n"), F.count_if("p").alias("passed"), F.count_if("q").alias("passed_again"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @_query("""WITH r AS (SELECT op, latency_ms, row_number() OVER (PARTITION BY op ORDER BY latency_ms) - 1 AS place, count(*) OVER (PARTITION BY op) AS n FROM a6_tele)
 SELECT op, n, max(latency_ms) FILTER (place = n // 2) AS p50, max(latency_ms) FILTER (place = n * 99 // 100) AS p99 FROM r GROUP BY op, n""")
 def bench_latency_stats(spark, sf):
@@ -362,10 +450,22 @@ def tele_activity(spark, sf):
     return telemetry.newest(A.telemetry(spark, sf), 50, F.desc("ts"), F.desc("event_id")).select("event_id", "op", "status_code")
 
 
-@_query("""SELECT r.seq, r.key, NOT arg_max(w.deleted, w.seq) AS found, CASE WHEN NOT arg_max(w.deleted, w.seq) THEN arg_max(w.value, w.seq) END AS value
-FROM a1_ops r JOIN a1_ops w ON r.key = w.key AND w.seq <= r.seq WHERE r.seq % 5 = 0 GROUP BY r.seq, r.key""")
+@_query("SELECT seq, key, NOT deleted AS found, CASE WHEN NOT deleted THEN value END AS value FROM a1_ops")
 def read_your_writes(spark, sf):
-    return versions.as_of_reads(A.ops(spark, sf), F.col("seq") % 5 == 0)
+    """A read just after each write; sequences are unique, so what it must see is the write itself."""
+    return versions.as_of_reads(A.ops(spark, sf), F.lit(True))
+
+
+@_query("""SELECT r.seq, r.key, NOT arg_max(w.deleted, w.seq) AS found, CASE WHEN NOT arg_max(w.deleted, w.seq) THEN arg_max(w.value, w.seq) END AS value
+FROM (SELECT seq, key, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS before FROM a1_ops) r JOIN a1_ops w ON w.key = r.key AND w.seq = r.before GROUP BY r.seq, r.key""")
+def read_before_write(spark, sf):
+    """A read just before each write sees the write before it; first writes have none."""
+    ops = A.ops(spark, sf)
+    reads = versions.as_of_reads(ops, F.lit(True))
+    after = ops.select("key", F.col("seq").alias("at"))
+    w = Window.partitionBy("key").orderBy("at")
+    before = after.withColumn("seq", F.lag("at").over(w)).where("seq IS NOT NULL")
+    return before.join(reads, ["key", "seq"]).select(F.col("at").alias("seq"), "key", "found", "value")
 
 
 @_query("SELECT v.value IS NOT NULL AND v.value = 'v2' AS updated, FALSE AS found_after_delete FROM (SELECT struct_pack(value := 'v2') AS v)")

@@ -321,3 +321,79 @@ def test_wal_tail_and_changes(spark, tmp_path):
     (tmp_path / "w" / "00000002.wal").write_bytes(wal_bytes([(4, b"a", b"late"), (6, b"b", b"new"), (3, b"c", b"3")]))
     run()
     assert sorted(seen) == [("b", 6, False), ("c", 3, False)]
+
+
+def test_a_late_batch_of_old_sequences_stays_visible(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"))
+    store.apply(ops(spark, [("b", "new")]).withColumn("seq", F.lit(100).cast("bigint")))
+    store.flush()
+    late = ops(spark, [("a", "late")]).withColumn("seq", F.lit(5).cast("bigint"))
+    store.apply(late, batch=7)
+    store.apply(late, batch=7)
+    assert store.get("a").first().value == "late" and store.last_seq() == 100
+    assert store.flush() and not store.flush()
+    store = Store(spark, store.path)
+    assert {r.key: r.value for r in store.snapshot().collect()} == {"a": "late", "b": "new"}
+
+
+def test_frames_of_the_version_before_still_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"), StoreConfig(level0_tables=2))
+    for i in range(2):
+        store.put(spark.createDataFrame([(f"k{j}", f"v{i}") for j in range(3)], "key string, value string"))
+        before = store.snapshot()
+        store.flush()
+        assert {r.value for r in before.collect()} == {f"v{i}"}
+    before = store.snapshot()
+    store.compact()
+    assert {r.value for r in before.collect()} == {"v1"}
+    store.put(spark.createDataFrame([("z", "z")], "key string, value string"))
+    store.flush()
+    assert len(store._names("tables")) == 2 and len(store._names("manifest")) == 2
+
+
+def test_a_version_that_never_came_retires_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kv"), StoreConfig(level0_tables=1))
+    store.put(spark.createDataFrame([("a", "1")], "key string, value string"))
+    store.flush()
+    store.put(spark.createDataFrame([("b", "2")], "key string, value string"))
+    # a flush that broke off between its markers and its manifest
+    for n in store._batches():
+        store._fs.mkdirs(store._path(f"retired/v{store._version() + 1:08d}.{n}"))
+    assert store.compact() == 0
+    assert {r.key for r in store.snapshot().collect()} == {"a", "b"}
+
+
+def test_compaction_takes_overlapping_tables_only(spark, tmp_path):
+    rows = [(1, 0, "a", "c", 9), (2, 0, "d", "f", 8), (3, 1, "b", "b", 1), (4, 1, "e", "k", 2), (5, 1, "m", "z", 3), (6, 2, "a", "n", 0)]
+    have = spark.createDataFrame(rows, "run int, level int, first_key string, last_key string, min_seq bigint")
+    picked = lambda level: sorted(r.run for r in tables.overlapping(have, level).collect())
+    assert picked(0) == [1, 2, 3, 4] and picked(1) == [3, 6] and picked(2) == [6] and picked(5) == []
+
+
+def test_stored_bloom_filters(spark):
+    held = bloom.build(spark.range(100).select(F.col("id").cast("string").alias("k")), "k", 0.02)
+    assert bloom.Bloom.load(held.serialize()) == held
+    for bad in (b"", held.serialize()[:-1], held.serialize()[:8] + bytes(8) + held.data):
+        with pytest.raises(ValueError):
+            bloom.Bloom.load(bad)
+
+
+def test_gaps_in_long_logs(spark):
+    for gap, n in ((1, 3000), (2, 3000), (700, 3000), (2999, 3000), (3000, 3000), (None, 3000)):
+        have = spark.range(1, n + 1).withColumnRenamed("id", "idx").where(F.col("idx") != (gap or 0))
+        assert replication._gap(have, 0, n, parts=7) == (n if gap is None else gap - 1)
+
+
+def test_damaged_requests_are_errors(spark):
+    good = messages.message("put", {"key": F.lit("k"), "value": F.lit("v")})
+    df = spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit(1).cast("bigint").alias("seq"), good.alias("frame")),
+        F.struct(F.lit(2).cast("bigint").alias("seq"), messages.message("get", {"key": F.lit("k")}).alias("frame")),
+        F.struct(F.lit(3).cast("bigint").alias("seq"), good.substr(F.lit(1), F.octet_length(good) - 1).alias("frame")),
+        F.struct(F.lit(4).cast("bigint").alias("seq"), messages.message("ping", {}).alias("frame")),
+        F.struct(F.lit(5).cast("bigint").alias("seq"), messages.message("delete", {"key": F.lit("k")}).alias("frame")),
+        F.struct(F.lit(6).cast("bigint").alias("seq"), messages.message("get", {"key": F.lit("k")}).alias("frame")),
+        F.struct(F.lit(7).cast("bigint").alias("seq"), F.lit(None).cast("binary").alias("frame")),
+    )).alias("m")).select("m.*")
+    got = [tuple(r) for r in messages.dispatch(df).orderBy("seq").collect()]
+    assert got == [(1, "put", "OK", False, None), (2, "get", "OK", True, "v"), (3, None, "ERROR", False, None), (4, "ping", "OK", False, None), (5, "delete", "OK", False, None), (6, "get", "OK", False, None), (7, None, "ERROR", False, None)]
