@@ -1,18 +1,25 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base entities (email, ip, card, phone) are found by fixed expressions and are the seeds.  A
-pattern is a kind with the shape of the words on both sides of an entity: the word before
-and the word after, digits masked, lower case.  Every identifier-like token (seed or not)
-of every text is a candidate instance of the patterns of its place.  Spark scores the
-pattern-instance graph iteratively: a pattern's confidence is the share of its instances,
-weighted by their own confidence, that are seeds or were accepted, an instance's confidence
-is that of its best pattern.  Patterns with enough distinct seeds and a confidence of
-``ACCEPT`` discover the identifiers that no expression knew; these spans carry the pattern's kind.
+Base entities (email, ip, card, phone) are found by fixed expressions and are the seeds.
+Other identifier-like runs are candidates: groups of digits joined by blanks, dots, hyphens or
+brackets (6 digits or more), codes of letters and digits (4 digits or more), and users at
+hosts in words ("jane [at] example [dot] com") or without a dot.  A run ends where its own
+characters end, not at white space or a length.  Seeds and candidates induce lexical patterns:
+the word before with the word after, and the two words before; lower case, digits masked.
+
+Spark scores the pattern-instance graph in rounds.  A pattern's kind is that of most of its
+accepted instances, its confidence the share of its instances, weighted by their own
+confidence, that are accepted as this kind.  Patterns with ``MIN_SEEDS`` of them and a
+confidence of ``ACCEPT`` are accepted, and so are all their instances, with the pattern's
+kind and confidence.  These count as seeds in the next round and can induce further patterns;
+the rounds end when nothing new is accepted.  What an accepted pattern surrounds is a span.
 
 The text is scanned once; candidates (never the text) are checkpointed.  Edges are
 aggregated by (pattern, instance) before any join, so copies weigh once.  Defined results:
-null text is empty; rows are told apart by a row key, so repeated rows give repeated results;
-other columns are passed over.
+null text is empty; a text of any length is scanned whole, in linear time; rows are told
+apart by a row key, so repeated rows give repeated results; equal counts of a pattern go to the
+kind that comes first, equal confidences of an instance too; an empty table gives no rows;
+other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -29,13 +36,19 @@ from pyspark.sql import functions as F
 from lamina.llm import textkit as tk
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, ACCEPT, MIN_SEEDS = 3, 0.8, 3
+ACCEPT, MIN_SEEDS = 0.8, 3
+#: Digits of a candidate: groups of digits, codes with letters.
+GROUP_DIGITS, CODE_DIGITS = 6, 4
+#: Patterns or instances that may be broadcast.
+BROADCAST = 100_000
 # The base expressions.  Digit runs are taken whole (possessive, not after a
 # digit), which leaves the leftmost matches as they are and bounds the work on long runs.
 AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Bytes without which a text has no entity and no candidate: digits, @ and the brackets of "(at)".
+SIGNS = np.isin(np.arange(256), list(b"0123456789@[({<"))
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
@@ -83,40 +96,90 @@ def base(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _shape(word: str) -> str:
-    return re.sub("[0-9]+", "0", word.lower().strip(".,;:!?()[]\"'"))[:24]
+GROUPS = re.compile(r"[0-9]++(?:[\x20().-]{1,3}+[0-9]++)*+")
+AT = re.compile(r"@|\x20?[\[({<]\x20?(?:at|AT)\x20?[\])}>]\x20?")
+HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]\x20?)[A-Za-z0-9-]++)*+")
+_CODE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+_DIGITS = re.compile("[0-9]+")
 
 
-def context(text: str, a: int, b: int) -> str:
-    """The words on both sides of a span, as one lexical pattern."""
-    before = text[max(0, a - 48) : a].split()
-    after = text[b : b + 48].split()
-    return f"{_shape(before[-1]) if before else '^'} _ {_shape(after[0]) if after else '$'}"
+def _in_word(c: str) -> bool:
+    return c.isalnum() or c in "_'"
 
 
-#: two digits close together start the search for a token
-_RUN = re.compile(r"[0-9][^\s]{0,2}[0-9]")
+def _shape(word: str) -> str:
+    return _DIGITS.sub("0", word.lower())
+
+
+def _word_before(text: str, at: int) -> tuple[int, int]:
+    """The last run of letters or of digits that ends before ``at``; empty at the text's start."""
+    end = at
+    while end > 0 and not _in_word(text[end - 1]):
+        end -= 1
+    start = end
+    while start > 0 and _in_word(text[start - 1]) and text[start - 1].isdigit() == text[end - 1].isdigit():
+        start -= 1
+    return start, end
+
+
+def contexts(text: str, a: int, b: int) -> tuple[str, str]:
+    """The lexical patterns of a span: word before and word after; two words before."""
+    x, y = _word_before(text, a)
+    v, w = _word_before(text, x)
+    start = b
+    while start < len(text) and not _in_word(text[start]):
+        start += 1
+    end = start
+    while end < len(text) and _in_word(text[end]) and text[end].isdigit() == text[start].isdigit():
+        end += 1
+    near = _shape(text[x:y]) or "^"
+    return f"{near} _ {_shape(text[start:end]) or '$'}", f"{_shape(text[v:w]) or '^'} {near} _"
+
+
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like runs between the base entities, in order, none over another."""
+    out: list[tuple[int, int]] = []
+    ends = [0, *(y for _, _, y in taken)]
+    low = 0
+    for a, b in zip(ends, [*(x for x, _, _ in taken), len(text)], strict=True):
+        low = max(low, a)
+        if low < b:
+            out += _between(text, low, b)
+    return out
 
 
-def tokens(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens that overlap no base entity, stripped of closing punctuation."""
-    done = 0
-    for m in _RUN.finditer(text):
-        if m.start() < done:
-            continue
+def _between(text: str, low: int, high: int) -> list[tuple[int, int]]:
+    found, done = [], low
+    for m in AT.finditer(text, low, high):
         a = m.start()
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 80:
+        while a > done and text[a - 1] in _LOCAL:
             a -= 1
-        b = m.end()
-        while b < len(text) and not text[b].isspace() and b - a < 160:
+        if a < m.start() and (host := HOST.match(text, m.end(), high)):
+            found.append((a, host.end()))
+            done = host.end()
+    out, done, k = [], low, 0
+    for m in GROUPS.finditer(text, low, high):
+        a, b = m.span()
+        if a < done:
+            continue
+        while a > done and text[a - 1] in _CODE:
+            a -= 1
+        while b < high and text[b] in _CODE:
             b += 1
         done = b
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        while a < b and not text[a].isalnum():
+        while text[a] in "_-":
             a += 1
-        if sum("0" <= c <= "9" for c in text[a:b]) >= 6 and b - a <= 80 and not any(x < b and a < y for x, _, y in taken):
-            yield a, b
+        while text[b - 1] in "_-":
+            b -= 1
+        run = text[a:b]
+        letters = any("A" <= c <= "Z" or "a" <= c <= "z" for c in run)
+        if sum("0" <= c <= "9" for c in run) < (CODE_DIGITS if letters else GROUP_DIGITS):
+            continue
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        if k == len(found) or b <= found[k][0]:
+            out.append((a, b))
+    return sorted(out + found)
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,11 +187,11 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("pattern", pa.int64()), ("instance", pa.int64())]))
+        kind_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("patterns", pa.list_(pa.int64())), ("instance", pa.int64())]))
         key = lambda s: int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
-            sign = np.concatenate([[0], np.cumsum(((data >= 48) & (data <= 57)) | (data == 64))])
+            sign = np.concatenate([[0], np.cumsum(SIGNS[data])])
             may = sign[off[1:]] > sign[off[:-1]]
             spans, found = [], []
             for i, t in enumerate(batch.column(1)):
@@ -138,44 +201,50 @@ def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     found.append([])
                     continue
                 b = base(text)
-                rows = [(k, x, y) for x, k, y in b] + [(-1, x, y) for x, y in tokens(text, b)]
+                rows = [(k, x, y) for x, k, y in b] + [(-1, x, y) for x, y in candidates(text, b)]
                 spans.append([(x, k, y) for x, k, y in b])
-                found.append([{"kind": k, "start": x, "end": y, "pattern": key(context(text, x, y)), "instance": key(text[x:y])} for k, x, y in rows])
+                found.append([{"kind": k, "start": x, "end": y, "patterns": [key(c) for c in contexts(text, x, y)], "instance": key(text[x:y])} for k, x, y in rows])
             told = [",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in s) for s in spans]
             count = lambda k: pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(count, range(4)), pa.array(told), pa.array(found, kind_type)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base", "found"])
 
     texts = tk.bounded(docs).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:int,start:bigint,end:bigint,pattern:bigint,instance:bigint>>")
+    return texts.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, found array<struct<kind:int,start:bigint,end:bigint,patterns:array<bigint>,instance:bigint>>")
 
 
-def confident(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def confident(found: DataFrame, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(pattern, kind) of the patterns that discover identifiers."""
-    edges = found.select(F.explode("found").alias("m")).select("m.pattern", "m.instance", "m.kind").distinct()
-    edges = tk.materialize(edges)
-    # a pattern's kind is that of most of its seeds
-    seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    kinds = seeds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("k"))).alias("s")).select("pattern", F.col("s.seeds").alias("seeds"), (-F.col("s.k")).alias("kind")).where(F.col("seeds") >= min_seeds)
-    # only patterns with seeds enough, and what they extract, are left in the graph
-    graph = edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed")).join(kinds, "pattern")
-    graph = tk.materialize(graph)
-    score = graph.select("instance", (F.col("seed") >= 0).cast("double").alias("trust")).groupBy("instance").agg(F.max("trust").alias("trust"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = graph.join(score, "instance").groupBy("pattern", "kind").agg(F.avg("trust").alias("confidence"))
-        patterns = tk.materialize(patterns)
-        # an instance is as good as its best pattern; seeds stay certain
-        held = graph.join(patterns.select("pattern", "confidence"), "pattern")
-        score = held.groupBy("instance").agg(F.max(F.when(F.col("seed") >= 0, 1.0).otherwise(F.col("confidence"))).alias("trust"))
-    return patterns.where(F.col("confidence") >= accept).select("pattern", "kind")
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    each = found.select(F.explode("found").alias("m")).select(F.explode("m.patterns").alias("pattern"), "m.instance", "m.kind")
+    # an instance that is a seed of several kinds counts as the first of them
+    seed = F.min(F.when(F.col("kind") >= 0, F.col("kind")))
+    edges = each.groupBy("pattern", "instance").agg(seed.alias("kind"))
+    seeds = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("own"))
+    # a candidate has its own kind of run, so it is no seed elsewhere; edges know at once what is accepted
+    edges = tk.materialize(edges.join(seeds, "instance", "left").select("pattern", "instance", F.col("own").alias("kind"), F.when(F.col("own").isNotNull(), 1.0).alias("trust")))
+    while True:
+        per = edges.groupBy("pattern", "kind").agg(F.count("*").alias("n"), F.sum("trust").alias("trust"))
+        # kind null: what isn't accepted
+        best = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", (-F.col("kind")).alias("k"), "trust")))
+        patterns = per.groupBy("pattern").agg(F.sum("n").alias("all"), best.alias("b")).where(F.col("b.n") >= min_seeds)
+        patterns = patterns.select("pattern", (-F.col("b.k")).alias("as"), (F.col("b.trust") / F.col("all")).alias("confidence")).where(F.col("confidence") >= accept)
+        patterns = tk.small(tk.materialize(patterns), BROADCAST)
+        reached = edges.where("kind IS NULL").join(patterns, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("as")).alias("k"))).alias("b"))
+        new = tk.materialize(reached.select("instance", (-F.col("b.k")).alias("now"), F.col("b.confidence").alias("sure")))
+        if new.isEmpty():
+            return patterns.select("pattern", F.col("as").alias("kind"))
+        joined = edges.join(tk.small(new, BROADCAST), "instance", "left")
+        edges = tk.materialize(joined.select("pattern", "instance", F.coalesce("kind", "now").alias("kind"), F.coalesce("trust", "sure").alias("trust")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found for every row."""
     found = tk.materialize(extract(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    good = confident(found, rounds, accept, min_seeds)
-    new = found.where(F.exists("found", lambda m: m["kind"] < 0)).select("row", F.explode(F.filter("found", lambda m: m["kind"] < 0)).alias("m")).select("row", "m.pattern", "m.start", "m.end")
-    new = new.join(good, "pattern").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))
+    good = confident(found, accept, min_seeds)
+    new = found.where(F.exists("found", lambda m: m["kind"] < 0)).select("row", F.explode(F.filter("found", lambda m: m["kind"] < 0)).alias("m"))
+    new = new.select("row", "m.start", "m.end", F.posexplode("m.patterns").alias("place", "pattern")).join(good, "pattern")
+    # the pattern of both sides goes before that of the words before
+    new = new.groupBy("row", "start", "end").agg(F.min(F.struct("place", "kind")).alias("k"))
+    new = tk.small(tk.materialize(new.groupBy("row").agg(F.collect_list(F.struct("start", F.col("k.kind").alias("kind"), "end")).alias("new"))), BROADCAST)
     names = F.array(*map(F.lit, KINDS))
     old = F.transform(F.filter("found", lambda m: m["kind"] >= 0), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     every = F.array_sort(F.concat(old, F.col("new")))

@@ -524,3 +524,91 @@ def test_nearest_recall(spark, n, width):
         best = np.sort(s)[-20] - 1e-12
         hits += sum(s[v] >= best for v, _ in got)
     assert len(found) == n // 20 and hits >= 0.9 * 20 * len(found)
+
+
+# bootstrapped extraction
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("call 555 123 4567 now", ["555 123 4567"]),
+    ("(017) 555-7713.", ["017) 555-7713"]),
+    ('{"id":"AB77q1234x","n":5}', ["AB77q1234x"]),
+    ("write jane.doe[at]example.com or joe (at) example (dot) org", ["jane.doe[at]example.com", "joe (at) example (dot) org"]),
+    ("see user@localhost here", ["user@localhost"]),
+    ("电话13800138000号码", ["13800138000"]),
+    ("12 34 5 and word and a1", []),
+    ("x" * 300 + "1234" + "y" * 300, ["x" * 300 + "1234" + "y" * 300]),
+    ("", []),
+])
+def test_candidates(text, want):
+    assert [text[a:b] for a, b in pii.candidates(text, pii.base(text))] == want
+
+
+def test_candidates_and_contexts_are_linear():
+    for text in ("1" * 200_000, "a@" * 100_000, "日1234567" * 20_000, "(at)" * 50_000, "a" * 100_000 + "12345 " * 30_000, ". " * 50_000 + "1234567"):
+        b = pii.base(text)
+        for x, y in pii.candidates(text, b):
+            assert len(pii.contexts(text, x, y)) == 2
+
+
+def bootstrap(texts, accept, min_seeds):
+    """Spans of every text, by plain dictionaries."""
+    rows = []
+    for t in texts:
+        b = pii.base(t or "")
+        rows.append([(x, y, k) for x, k, y in b] + [(x, y, None) for x, y in pii.candidates(t or "", b)])
+    by, known = {}, {}
+    for t, found in zip(texts, rows, strict=True):
+        for x, y, k in found:
+            for p in pii.contexts(t, x, y):
+                by.setdefault(p, set()).add(t[x:y])
+            if k is not None:
+                known[t[x:y]] = min(k, known.get(t[x:y], (9,))[0]), 1.0
+    while True:
+        good = {}
+        for p, held in by.items():
+            kinds = [known[i][0] for i in held if i in known]
+            if not kinds:
+                continue
+            kind = min(set(kinds), key=lambda k: (-kinds.count(k), k))
+            sure = sum(known[i][1] for i in held if i in known and known[i][0] == kind) / len(held)
+            if kinds.count(kind) >= min_seeds and sure >= accept:
+                good[p] = kind, sure
+        new = {}
+        for p, (kind, sure) in good.items():
+            for i in by[p]:
+                if i not in known and (i not in new or (-sure, kind) < (-new[i][1], new[i][0])):
+                    new[i] = kind, sure
+        if not new:
+            break
+        known |= new
+    out = []
+    for t, found in zip(texts, rows, strict=True):
+        told = []
+        for x, y, k in found:
+            kinds = [good[p][0] for p in pii.contexts(t, x, y) if p in good] if k is None else [k]
+            told += [(x, kinds[0], y)] if kinds else []
+        out.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(told)))
+    return out
+
+
+def test_added_spans_against_brute_force(spark):
+    rnd = random.Random(12)
+    phone = lambda: f"+{rnd.randrange(1, 99)} {rnd.randrange(100, 999)} {rnd.randrange(1000, 9999)} {rnd.randrange(10, 99)}"
+    local = lambda: f"{rnd.randrange(100, 999)} {rnd.randrange(1000, 9999)}"
+    texts = []
+    for i in range(120):
+        texts.append(f"{prose(rnd, 4)} my phone is {phone() if i % 10 else local()} thanks {prose(rnd, 3)}")
+        # a pattern that only accepted numbers support: it is induced in a later round
+        texts.append(f"ring on {local() if i % 3 else phone()} tonight {prose(rnd, 2)}")
+        texts.append(f"order code ZX{rnd.randrange(10**6):06d} shipped")
+    again = [t.split(" is ")[1].split(" thanks")[0] for t in texts if " phone is " in t and "+" not in t]
+    texts += [f"desk line {x} please" for x in again] + ["desk line 555 7777 please", "mail bob[at]example.com today"]
+    texts += [f"mail {n}@example.com today" for n in ("a", "b", "c", "d", "e", "f")] + H.AWKWARD
+    got = {r.doc_id: r.spans for r in pii.scan(H.docs(spark, texts)).collect()}
+    want = bootstrap(texts, pii.ACCEPT, pii.MIN_SEEDS)
+    assert got == dict(enumerate(want))
+    told = dict(zip(texts, want, strict=True))
+    assert told["desk line 555 7777 please"] == "phone:10:18"  # found through a pattern of found numbers
+    assert told["mail bob[at]example.com today"] == "email:5:23"
+    assert all(told[t] == "" for t in texts if t and t.startswith("order code"))
