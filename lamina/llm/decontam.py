@@ -7,18 +7,27 @@ is searched backwards through the ranks of a wavelet matrix over the Burrows-Whe
 transform, its occurrences are located from sampled suffix positions, and overlapping ones
 are merged into removal spans.
 
+The benchmark is cut into blocks of ``BLOCK_BYTES`` of text; the windows of one block are made
+once, on the driver, and broadcast as arrays.  A benchmark of one block takes one pass over
+the documents, without a shuffle.  A larger one is searched block after block: a pass holds the
+windows of one block only, and tells of hit documents alone; what all passes found is merged
+by document and met with the texts again.
+
 Defined results: null text has no words; an item without words has no window; items with
 the same id count once; an item without an id marks words but isn't listed; repeated rows
-give repeated results; an empty benchmark hits nothing.
+give repeated results; an empty benchmark hits nothing; very long texts form shards of their
+own; no documents give no rows; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +35,10 @@ from lamina.llm import textkit as tk
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
-#: Benchmark text of one pattern block; a larger benchmark is searched block by block.
-BLOCK_BYTES = 16 << 20
+#: Benchmark text of one pattern block; a larger benchmark is searched block after block.
+BLOCK_BYTES = 4 << 20
+#: Hit documents whose spans may be broadcast.
+BROADCAST = 100_000
 SAMPLE = 8
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -40,26 +51,28 @@ class Windows:
         data = tk.LOWER[data]
         start, end, row = tk.words(data, off, tk.ALNUM)
         vocab, ids = np.unique(tk.word_hashes(data, start, end), return_inverse=True)
-        ids = ids.astype(np.int64) + 1
+        ids = ids.astype(np.int32).ravel() + 1
         self.vocab, self.names = vocab, sorted({k for k, _ in items if k is not None})
         place = {k: i for i, k in enumerate(self.names)}
-        known: dict[tuple, set[int]] = {}
-        first = np.searchsorted(row, np.arange(len(items) + 1))
-        for i, (key, _) in enumerate(items):
-            w = ids[first[i] : first[i + 1]].tolist()
-            for k in range(max(1, len(w) - window + 1)) if w else ():
-                known.setdefault(tuple(w[k : k + window]), set()).update([place[key]] if key is not None else [])
-        grams = sorted(known)
-        self.length = np.array([len(g) for g in grams], np.int64)
-        self.shortest = int(self.length.min()) if grams else 0
+        count = np.bincount(row, minlength=len(items)).astype(np.int64)
+        # windows of an item: all of ``window`` words, or its only one
+        many = np.where(count > 0, np.maximum(1, count - window + 1), 0)
+        owner = np.repeat(np.arange(len(items)), many)
+        first = ranges((np.cumsum(count) - count)[count > 0], many[count > 0])
+        length = np.minimum(count[owner], window)
+        back = np.arange(window)
+        inside = back[None, :] < length[:, None]
         #: words of each window from its last backwards, 0 beyond its first
-        self.backward = np.zeros((len(grams), window), np.int64)
-        for i, g in enumerate(grams):
-            self.backward[i, : len(g)] = g[::-1]
-        lists = [sorted(known[g]) for g in grams]
-        self.item_off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        self.items = np.array([x for y in lists for x in y], np.int64)
-        self.pairs = np.unique(np.array([a << 32 | b for g in grams for a, b in zip(g, g[1:], strict=False)], np.int64))
+        words = np.where(inside, ids[np.where(inside, (first + length)[:, None] - 1 - back[None, :], 0)], 0).astype(np.int32) if len(first) else np.zeros((0, window), np.int32)
+        self.backward, which = np.unique(words, axis=0, return_inverse=True)
+        self.length = (self.backward > 0).sum(1).astype(np.int64)
+        self.shortest = int(self.length.min()) if len(self.length) else 0
+        named = np.array([-1 if k is None else place[k] for k, _ in items], np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
+        pair = np.unique(np.stack([which.ravel().astype(np.int64), named], 1)[named >= 0], axis=0)
+        self.item_off = np.searchsorted(pair[:, 0], np.arange(len(self.length) + 1)).astype(np.int64)
+        self.items = pair[:, 1].copy()
+        after, before = self.backward[:, :-1].astype(np.int64), self.backward[:, 1:].astype(np.int64)
+        self.pairs = np.unique((before << 32 | after)[before > 0])
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(vocab & np.uint64(0xFFFFF)).astype(np.int64)] = True
 
@@ -238,17 +251,65 @@ def run_hashes(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return tk.mix((sums[begin + size] - sums[begin]) * down[begin] + size.astype(np.uint64))
 
 
-def _pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcasts of at most about BLOCK_BYTES of benchmark text each."""
+def _pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[tuple[Broadcast, int]]:
+    """Broadcasts of the windows of about BLOCK_BYTES of benchmark text each, one after another, and how many there are."""
     items = benchmark.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).where("t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = -(-total // BLOCK_BYTES)
-    sc = benchmark.sparkSession.sparkContext
-    out = []
+    if blocks > 1:
+        items = tk.materialize(items)
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
-        out.append(sc.broadcast([(r.k, r.t.encode()) for r in part.collect()]))
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(Windows([(r.k, r.t.encode()) for r in part.collect()], window)), blocks
+
+
+def _shard_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, row and hash of each word of a shard."""
+    parts = []
+    for a, _, d, o in tk.chunks(data, off):
+        d = tk.LOWER[d]
+        s, e, r = tk.words(d, o, tk.ALNUM)
+        parts.append((s + off[a], e + off[a], (r + a).astype(np.int32), tk.word_hashes(d, s, e)))
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of batches of about SHARD_BYTES of text as one batch."""
+    held, size = [], 0
+    one = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(text_at).nbytes
+            if size >= SHARD_BYTES:
+                yield one()
+                held, size = [], 0
+    if held:
+        yield one()
+
+
+def _cleaned(shard: pa.RecordBatch, columns: list[str], text_at: int, merged: dict[int, list[tuple[int, int]]], bad: np.ndarray) -> pa.RecordBatch:
+    """A shard without contaminated rows, with merged word ranges cut from the texts of others."""
+    data, off = tk.buffers(shard.column(text_at))
+    start, end, row, _ = _shard_words(data, off)
+    first = np.searchsorted(row, np.arange(shard.num_rows + 1))
+    texts: list = shard.column(text_at).to_pylist()
+    sizes = shard.column(columns.index("n_chars")).to_pylist() if "n_chars" in columns else None
+    for i, spans in merged.items():
+        raw, at, kept = data[off[i] : off[i + 1]].tobytes(), 0, []
+        for a, b in spans:
+            kept.append(raw[at : start[first[i] + a] - off[i]])
+            at = end[first[i] + b - 1] - off[i]
+        texts[i] = b"".join([*kept, raw[at:]]).decode()
+        if sizes is not None:
+            sizes[i] = len(texts[i])
+    arrays = list(shard.columns)
+    arrays[text_at] = pa.array(texts, shard.column(text_at).type)
+    if sizes is not None:
+        arrays[columns.index("n_chars")] = pa.array(sizes, shard.column(columns.index("n_chars")).type)
+    return pa.RecordBatch.from_arrays(arrays, schema=shard.schema).filter(pa.array(~bad))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, clean: bool = False) -> DataFrame:
@@ -258,79 +319,121 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ranges, end exclusive, as text).  With ``clean`` returns the input's columns: contaminated documents go,
     removal spans are cut from the text of the others, and n_chars, if there is one, follows.
     """
-    blocks = _pattern_blocks(benchmark, id_col=item_col, text_col=item_text_col, window=window)
-    columns = docs.columns if clean else ["doc_id", "text"]
     tk.bounded(docs)
-    source = docs if clean else docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    found, whole = [], None
+    source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    for windows, blocks in _pattern_blocks(benchmark, item_col, item_text_col, window):
+        if blocks == 1:
+            whole = windows
+        else:
+            found.append(tk.materialize(_block_hits(_keyed(docs, id_col, text_col, "k1", "k2").select("k1", "k2", F.col(text_col).alias("text")), windows)))
+            windows.unpersist()
+    if found:
+        return _merged(docs, found, id_col, text_col, clean)
+    columns = docs.columns if clean else ["doc_id", "text"]
     text_at = columns.index(text_col if clean else "text")
 
     @tk.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = [Windows(b.value, window) for b in blocks]
-
-        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            shard = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            data, off = tk.buffers(shard.column(text_at))
+        windows = None if whole is None else whole.value
+        for shard in _shards(batches, text_at):
+            _, _, row, hashed = _shard_words(*tk.buffers(shard.column(text_at)))
             n = shard.num_rows
-            starts, ends, rows, hashes = [], [], [], []
-            for a, _, d, o in tk.chunks(data, off):
-                d = tk.LOWER[d]
-                s, e, r = tk.words(d, o, tk.ALNUM)
-                hashes.append(tk.word_hashes(d, s, e))
-                rows.append((r + a).astype(np.int32))
-                if clean:
-                    starts.append(s + off[a])
-                    ends.append(e + off[a])
-            start, end, row, hashed = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, rows, hashes))
-            hit = np.zeros(len(row), bool)
-            names: list[set] = [set() for _ in range(n)] if len(windows) > 1 else []
-            listed = [""] * n
-            count = np.zeros(n, np.int64)
-            for w in windows:
-                h, pairs = hits(w, w.number(hashed), row)
-                hit |= h
-                cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
-                for group in np.split(pairs, cut) if len(pairs) else ():
-                    i, found = int(group[0, 0]), [w.names[k] for k in group[:, 1].tolist()]
-                    if names:
-                        names[i].update(found)
-                        found = sorted(names[i])
-                    listed[i], count[i] = ",".join(found), len(found)
-            n_words = np.bincount(row, minlength=n)
-            n_hit = np.bincount(row[hit], minlength=n)
+            hit, pairs = (np.zeros(len(row), bool), np.zeros((0, 2), np.int64)) if windows is None else hits(windows, windows.number(hashed), row)
+            n_words, n_hit = np.bincount(row, minlength=n), np.bincount(row[hit], minlength=n)
             bad = (n_hit > 0) & (20 * n_hit >= n_words)
             first = np.concatenate([[0], np.cumsum(n_words)])
             merged = {i: _merge(hit[first[i] : first[i + 1]]) for i in np.flatnonzero(n_hit).tolist()}
-            if not clean:
-                return pa.RecordBatch.from_arrays([shard.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(count, pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() if x else NOTHING for x in listed]), pa.array(bad), pa.array([",".join(f"{a}:{b}" for a, b in merged.get(i, ())) for i in range(n)], pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
-            texts: list = shard.column(text_at).to_pylist()
-            sizes = shard.column(columns.index("n_chars")).to_pylist() if "n_chars" in columns else None
-            for i, spans in merged.items():
-                raw, at, kept = data[off[i] : off[i + 1]].tobytes(), 0, []
-                for a, b in spans:
-                    kept.append(raw[at : start[first[i] + a] - off[i]])
-                    at = end[first[i] + b - 1] - off[i]
-                texts[i] = b"".join([*kept, raw[at:]]).decode()
-                if sizes is not None:
-                    sizes[i] = len(texts[i])
-            arrays = list(shard.columns)
-            arrays[text_at] = pa.array(texts, shard.column(text_at).type)
-            if sizes is not None:
-                arrays[columns.index("n_chars")] = pa.array(sizes, shard.column(columns.index("n_chars")).type)
-            return pa.RecordBatch.from_arrays(arrays, schema=shard.schema).filter(pa.array(~bad))
-
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.column(text_at).nbytes
-                if size >= SHARD_BYTES:
-                    yield flush(held)
-                    held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return source.mapInArrow(run, docs.schema if clean else "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string")
+            if clean:
+                yield _cleaned(shard, columns, text_at, {i: x for i, x in merged.items() if not bad[i]}, bad)
+                continue
+            listed, count = _listed(windows, pairs, n)
+            told = [",".join(f"{a}:{b}" for a, b in merged.get(i, ())) for i in range(n)]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() if x else NOTHING for x in listed]
+            yield pa.RecordBatch.from_arrays([shard.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digests), pa.array(bad), pa.array(told, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+    return (docs if clean else source).mapInArrow(run, docs.schema if clean else RESULT)
+
+
+RESULT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans string"
+
+
+def _listed(windows: Windows | None, pairs: np.ndarray, n: int) -> tuple[list[list[str]], np.ndarray]:
+    """The items of each row, in order, and how many they are."""
+    listed: list[list[str]] = [[] for _ in range(n)]
+    for group in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+        listed[int(group[0, 0])] = [windows.names[k] for k in group[:, 1].tolist()]
+    return listed, np.array([len(x) for x in listed], np.int64)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, one: str, two: str) -> DataFrame:
+    """``docs`` with two hashes that tell rows with different id or text apart."""
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.withColumn(one, F.xxhash64(F.lit(1), F.col(id_col), t)).withColumn(two, F.xxhash64(F.lit(2), F.col(id_col), t))
+
+
+def _block_hits(texts: DataFrame, block: Broadcast) -> DataFrame:
+    """(k1, k2, spans, items) of the rows that one block's windows hit."""
+
+    @tk.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = block.value
+        for shard in _shards(batches, 2):
+            _, _, row, hashed = _shard_words(*tk.buffers(shard.column(2)))
+            hit, pairs = hits(windows, windows.number(hashed), row)
+            n = shard.num_rows
+            at = np.flatnonzero(np.bincount(row[hit], minlength=n))
+            first = np.searchsorted(row, np.arange(n + 1))
+            listed, _ = _listed(windows, pairs, n)
+            spans = [[{"a": a, "b": b} for a, b in _merge(hit[first[i] : first[i + 1]])] for i in at.tolist()]
+            keys = [shard.column(i).take(pa.array(at)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([listed[i] for i in at.tolist()], pa.list_(pa.string()))], names=["k1", "k2", "spans", "items"])
+
+    return texts.mapInArrow(run, f"k1 bigint, k2 bigint, spans {SPANS}, items array<string>")
+
+
+SPANS = "array<struct<a:bigint,b:bigint>>"
+
+
+def _merged(docs: DataFrame, found: list[DataFrame], id_col: str, text_col: str, clean: bool) -> DataFrame:
+    """The result of ``scan`` from the hits of several blocks (few rows each, by document)."""
+    names = tk.unused(docs, "k1", "k2", "spans", "items")
+    k1, k2, spans, items = names
+    every = reduce(DataFrame.unionByName, found)
+    every = every.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.flatten(F.collect_list("spans")).alias(spans), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(items))
+    every = tk.small(tk.materialize(every), BROADCAST)
+    joined = _keyed(docs, id_col, text_col, k1, k2).join(every, [k1, k2], "left").drop(k1, k2)
+    columns = docs.columns
+    if not clean:
+        joined = joined.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(spans).alias("spans"), F.col(items).alias("items"))
+    else:
+        joined = joined.select(*columns, spans)
+    text_at = columns.index(text_col) if clean else 1
+    spans_at = len(columns) if clean else 2
+
+    @tk.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, text_at):
+            n = shard.num_rows
+            _, _, row, _ = _shard_words(*tk.buffers(shard.column(text_at)))
+            n_words, n_hit, merged = np.bincount(row, minlength=n), np.zeros(n, np.int64), {}
+            for i, x in enumerate(shard.column(spans_at)):
+                if x.is_valid:
+                    hit = np.zeros(n_words[i], bool)
+                    for r in x.as_py():
+                        hit[r["a"] : r["b"]] = True
+                    n_hit[i], merged[i] = hit.sum(), _merge(hit)
+            bad = (n_hit > 0) & (20 * n_hit >= n_words)
+            if clean:
+                rows = pa.RecordBatch.from_arrays(shard.columns[:-1], names=columns)
+                yield _cleaned(rows, columns, text_at, {i: x for i, x in merged.items() if not bad[i]}, bad)
+                continue
+            listed = [x.as_py() or [] for x in shard.column(3)]
+            told = [",".join(f"{a}:{b}" for a, b in merged.get(i, ())) for i in range(n)]
+            digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
+            yield pa.RecordBatch.from_arrays([shard.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([len(x) for x in listed], pa.int64()), pa.array(digests), pa.array(bad), pa.array(told, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+
+    return joined.mapInArrow(run, docs.schema if clean else RESULT)
 
 
 def _merge(hit: np.ndarray) -> list[tuple[int, int]]:

@@ -442,8 +442,13 @@ def test_benchmark_blocks(spark, monkeypatch):
     items, texts = decontamination_case(random.Random(9))
     bench = spark.createDataFrame(items, "item_id string, text string")
     one = sorted(map(str, decontam.scan(H.docs(spark, texts), bench).collect()))
+    cleaned = sorted(map(str, decontam.scan(H.docs(spark, texts), bench, clean=True).collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     assert sorted(map(str, decontam.scan(H.docs(spark, texts), bench).collect())) == one
+    assert sorted(map(str, decontam.scan(H.docs(spark, texts), bench, clean=True).collect())) == cleaned
+    blocks = [w.value for w, _ in decontam._pattern_blocks(bench, "item_id", "text", decontam.WINDOW)]
+    every = sum(len(w.length) for w in blocks)
+    assert len(blocks) > 2 and max(len(w.length) for w in blocks) <= 0.8 * every
 
 
 # joins on hot keys
