@@ -13,11 +13,15 @@ with the windows of the text that begin at one of its bigrams and have as many b
 itself; the window may be cut short by the end of the text.  Long texts repeat themselves, so
 here Dice is that of the distinct bigrams of both.  Only windows that hold enough bigrams of the
 license are compared, which leaves nothing out.  A text has one match at most for each license, told under unit 0; the
-best of these goes before all notices, since licenses hold some of them.
-
-Defined results: null and empty text has no unit; units of fewer than two words have no
-bigram and match nothing; equal scores go to the template that comes first by name; other
-columns are passed over; repeated rows give repeated results.
+best of these goes before all notices, since licenses hold some of them.  Notices of
+``WRAPPED`` bigrams or more are sought in windows, too, for they may be wrapped over lines; such
+a match is told under unit 0, unless a line matches a notice much like it (Dice of ``ALIKE``).
+
+Sizes are bounded first: by its length a text too short for two thirds of a license is never
+compared with it.  Defined results: null and empty text has no unit; units of fewer than two words have no
+bigram and match nothing; equal scores go to the template that comes first by name; texts of
+any length are compared whole; an empty table gives no rows; other columns, whatever their
+names, are passed over; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Bigrams from which a notice is long enough to be wrapped.
+WRAPPED, ALIKE = 12, 0.6
 # Short notices by which public licenses are declared, and two of their texts.
 TEMPLATES = {
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -55,6 +61,9 @@ TEMPLATES = {
 TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def normal(text: str) -> list[str]:
     """Words of the normalised text."""
     return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text)).strip().split(" ")
@@ -103,19 +112,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     whole = (TEXTS if templates is None else {}) if whole is None else whole
     grams = {k: bigrams(t) for k, t in sorted((TEMPLATES if templates is None else templates).items())}
     grams = {k: g for k, g in grams.items() if g}
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    # one pass makes ASCII letters lower; expressions below are evaluated line by line or license by license
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, UPPER.lower()).alias("text"))
+    text = F.col("text")
     low = threshold / (2 - threshold)
     marks = sorted({w for g in grams.values() for w in anchors(g, low)})
     # a word that holds another one says nothing more
     marks = [w for w in marks if not any(x != w and x in w for x in marks)]
 
     def anchored(u: Column) -> Column:
-        small = F.lower(u)
-        return reduce(lambda a, w: a | F.contains(small, F.lit(w)), marks, F.lit(False))
+        return reduce(lambda a, w: a | F.contains(u, F.lit(w)), marks, F.lit(False))
 
     def words(u: Column) -> Column:
-        lower = F.translate(u, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-        return F.split(F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " ")), " ")
+        return F.split(F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")), " ")
 
     def pairs(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
@@ -145,32 +154,38 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
         hits = F.filter(F.transform(g, lambda x, i: F.when(F.array_contains(grams, x), i)), lambda p: p.isNotNull())
         starts = _let(hits, lambda h: F.filter(h, lambda p, j: F.coalesce(F.get(h, j + need - 1) - p < n, F.lit(False))))
-        top = F.when(F.size(F.array_intersect(g, grams)) >= need, _let(starts, best_of))
+        top = F.when((F.length(text) >= least_size[name]) & (F.size(F.array_intersect(g, grams)) >= need), _let(starts, best_of))
         return _let(top, lambda d: F.when(d >= threshold, F.struct(F.lit(0).alias("unit"), F.struct(d.alias("dice"), F.lit(name).alias("name")).alias("b"))))
 
     bodies = {k: v for k, v in sorted(whole.items()) if bigrams(v)}
+    notices = {k: v for k, v in sorted((TEMPLATES if templates is None else templates).items()) if len(bigrams(v)) >= WRAPPED and k not in bodies}
+    every = bodies | notices
     # a match holds so many code points at least: distinct bigrams begin at distinct words
-    least_size = {k: sum(sorted(len(g.split(" ")[0]) + 1 for g in bigrams(v))[: math.ceil(low * len(bigrams(v)) - 1e-9)]) for k, v in bodies.items()}
-    # from the least size up, each license adds the words that those before it lack
-    signs: list[tuple[int, list[str]]] = []
-    for k in sorted(bodies, key=lambda k: (least_size[k], k)):
-        signs.append((least_size[k], common(bigrams(bodies[k]), low, [w for _, ws in signs for w in ws])))
-
-    def blocks() -> Column:
-        """Matches of all whole licenses; few texts come as far as words."""
-        may = lambda small: reduce(lambda a, x: a | ((F.length(small) >= x[0]) & reduce(lambda b, w: b | F.contains(small, F.lit(w)), x[1], F.lit(False))), [x for x in signs if x[1]], F.lit(False))
-        found = _let(pairs(words(text)), lambda g: F.filter(F.array(*(window(k, v, g) for k, v in bodies.items())), lambda x: x.isNotNull()))
-        return F.when(_let(F.lower(text), may), found)
+    least_size = {k: sum(sorted(len(g.split(" ")[0]) + 1 for g in bigrams(v))[: math.ceil(low * len(bigrams(v)) - 1e-9)]) for k, v in every.items()}
+
+    def windows(of: dict[str, str]) -> Column:
+        """Matches of these licenses in windows; few texts come as far as words."""
+        # from the least size up, each license adds the words that those before it lack
+        signs: list[tuple[int, list[str]]] = []
+        for k in sorted(of, key=lambda k: (least_size[k], k)):
+            signs.append((least_size[k], common(bigrams(of[k]), low, [w for _, ws in signs for w in ws])))
+        may = reduce(lambda a, x: a | ((F.length(text) >= x[0]) & reduce(lambda b, w: b | F.contains(text, F.lit(w)), x[1], F.lit(False))), [x for x in signs if x[1]], F.lit(False))
+        found = _let(pairs(words(text)), lambda g: F.filter(F.array(*(window(k, v, g) for k, v in of.items())), lambda x: x.isNotNull()))
+        return F.coalesce(F.when(may, found).cast(f"array<{match}>"), none) if of else none
 
+    none = F.array().cast(f"array<{match}>")
     units = F.transform(F.concat(F.array(text), F.split(text, "\n", -1)), lambda u, i: F.struct(i.alias("unit"), u.alias("u")))
     units = F.filter(units, lambda x: anchored(x["u"]))
     units = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), pairs(words(x["u"])).alias("g")))
     scored = F.transform(units, lambda x: F.struct(x["unit"].alias("unit"), best(x["g"]).alias("b")))
     kept = F.when(anchored(text), F.filter(scored, lambda x: x["b"].isNotNull()))
-    none = F.array().cast(f"array<{match}>")
-    large = F.coalesce(blocks().cast(f"array<{match}>"), none) if bodies else none
-    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(kept, none).alias("small"), large.alias("large"))
-    found = found.select("doc_id", F.concat("large", "small").alias("m"), F.when(F.size("large") > 0, F.col("large")).otherwise(F.col("small")).alias("first"))
+    found = docs.select("doc_id", F.coalesce(kept, none).alias("small"), windows(bodies).alias("large"), windows(notices).alias("wrapped"))
+    # a line says where it is; and what a license holds needs no notice of its own
+    like = [f"{a}|{b}" for a in notices for b in grams if 2 * len(set(grams[a]) & set(grams[b])) >= ALIKE * (len(grams[a]) + len(grams[b]))]
+    told = lambda x: F.exists("small", lambda y: F.array_contains(F.array(*map(F.lit, like)), F.concat_ws("|", x["b"]["name"], y["b"]["name"])))
+    fresh = F.when((F.size("large") == 0) & (F.size("wrapped") > 0), F.filter("wrapped", lambda x: ~told(x)))
+    found = found.withColumn("wrapped", F.coalesce(fresh, none))
+    found = found.select("doc_id", F.concat("large", "wrapped", "small").alias("m"), F.when(F.size("large") > 0, F.col("large")).otherwise(F.concat("wrapped", "small")).alias("first"))
     top = F.aggregate("first", F.lit(None).cast("struct<dice:double,name:string>"), lambda a, x: F.when(a.isNull() | (x["b"]["dice"] > a["dice"]) | ((x["b"]["dice"] == a["dice"]) & (x["b"]["name"] < a["name"])), x["b"]).otherwise(a))
     found = found.select("doc_id", "m", top.alias("top"))
     return found.select(

@@ -66,3 +66,16 @@ def test_live_values_of_any_form_standing_bare(spark):
         assert got[3 + i] == f"bare:{a}:{a + len(v)},bare:{b}:{b + len(v)}"
         assert clean[3 + i] == t.replace(v, "[SECRET]")
     assert all(got[i] == "" and clean[i] == texts[i] for i in range(7, 11))
+
+
+def test_wrapped_notices(spark):
+    code = "\n".join(f"value_{i} = compute(value_{i - 1}, {i}) + the other" for i in range(30))
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    names = [k for k, v in licenses.TEMPLATES.items() if len(licenses.bigrams(v)) >= licenses.WRAPPED]
+    texts = [f"{code}\n{wrap(licenses.TEMPLATES[k], 10)}\n{code}" for k in names] + [f"{code}\n{licenses.TEMPLATES[k]}\n{code}" for k in names]
+    got = {r.doc_id: r for r in licenses.scan(H.docs(spark, texts)).collect()}
+    for i, k in enumerate(names):
+        # lgpl's first ten words are enough of it on their own line
+        assert ("31:" if k == "lgpl-3.0-notice" else "0:") + k in got[i].matches.split(",")
+        # on one line it is told by its line alone
+        assert f"31:{k}" in got[len(names) + i].matches.split(",") and f"0:{k}" not in got[len(names) + i].matches.split(",")
