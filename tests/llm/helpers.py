@@ -38,9 +38,9 @@ def shingle_set(text, k=3):
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
 
 
-def components(rows, percent=90):
+def components(rows, percent=90, words=3):
     """{doc_id: (n, component)} by comparing all pairs; rows: (doc_id, text)."""
-    sets = [(i, shingle_set(t)) for i, t in rows]
+    sets = [(i, shingle_set(t, words)) for i, t in rows]
     root = {i: i for i, _ in sets}
 
     def find(x):

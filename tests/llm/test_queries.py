@@ -111,7 +111,7 @@ def test_stages_one_by_one(spark, tmp_path):
     before, after = seen["language"]
     assert after == {i: t for i, t in before.items() if any(c.isalpha() for c in t or "")}
     before, after = seen["near_duplicates"]
-    comp = H.components(sorted(before.items()))
+    comp = H.components(sorted(before.items()), percent=80, words=5)
     assert after == {i: t for i, t in before.items() if comp[i][1] == i} and 5003 not in after
     before, after = seen["decontaminate"]
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
@@ -124,3 +124,32 @@ def test_stages_one_by_one(spark, tmp_path):
     got = sorted(map(str, docs.collect()))
     assert got == sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))
     assert got == sorted(map(str, bpe.encode(spark.read.parquet(f"{tmp_path}/mask_secrets"), llm.public_tokenizers.path("word_bpe_49k.json")).collect()))
+
+
+def tables(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    table(spark, SF, "benchmark").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    got = corpus_pipeline.run(spark, tables(spark, tmp_path, table(spark, SF, "documents").limit(0)))
+    assert got.count() == 0 and got.columns[:2] == ["doc_id", "n_tokens"]
+
+
+def test_pipeline_with_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Repeated rows count once, nulls and texts without letters leave; columns of any name do no harm."""
+    rnd = random.Random(2)
+    prose = [" ".join(f"{rnd.choice(['river', 'stone', 'cloud'])}{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}" for _ in range(60)) for _ in range(6)]
+    texts = [*prose, prose[0], prose[1] + " tail", *H.AWKWARD, 'token = "Zk39xLq8Tt71mM" here']
+    docs = H.docs(spark, texts)
+    names = ["k1", "k2", "spans", "items", "h1", "h2", "hot", "family", "row", "found", "live", "s1", "node"]
+    wide = docs
+    for n in names:
+        wide = wide.withColumn(n, docs["doc_id"])
+    plain = corpus_pipeline.run(spark, tables(spark, tmp_path / "a", docs.unionByName(docs))).orderBy("doc_id").collect()
+    wider = corpus_pipeline.run(spark, tables(spark, tmp_path / "b", wide.unionByName(wide))).orderBy("doc_id").collect()
+    assert plain == wider
+    kept = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+    kept = [i for i in kept if i not in (6, 7) and not (texts[i] == "tie tie" and texts.index("tie tie") != i)]
+    assert [r.doc_id for r in plain] == kept
