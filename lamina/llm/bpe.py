@@ -7,7 +7,10 @@ extended.  A block takes as many rows as ``BLOCK_BYTES`` allow, so memory does n
 with the partition, and a lost task is simply run again.
 
 Defined results: null text encodes as empty text (no ids, hash of the empty string);
-repeated rows give repeated results; other columns are passed over.
+repeated rows give repeated results; ranks are unique, and overlapping places of one pair are
+merged from the left; a text of any length is encoded whole, in a block of its own if it is
+longer than one; an empty table gives no rows; other columns, whatever their names, are
+passed over.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ presence matrix, the landmark matrix and the folded coefficients.
 Fitting takes a bounded sample of labelled rows (``FIT_ROWS`` a language, texts up to
 ``FIT_BYTES``), the scoring takes every whole text.  Defined results: null text or text
 without a letter gets ``und`` and score 0; rows without a label are never learned from; with
-no labelled rows every text is ``und``; repeated rows give repeated results.
+no labelled rows every text is ``und``; equal scores go to the language that comes first by
+name; texts of any length are scored whole; repeated rows give repeated results; an empty table
+gives no rows; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Scoring needs only one number a subword, because the softmax is linear in the av
 
 Training takes a bounded sample (``FIT_ROWS`` a label, texts up to ``FIT_BYTES``); scoring
 takes every whole text.  Defined results: null, empty or wordless text scores as a window
-without words (the bias alone); without labels the score is 0 everywhere.
+without words (the bias alone); without labels the score is 0 everywhere; a score of exactly
+0.5 counts as toxic; repeated rows give repeated results; repeated labels count once, and a
+document with both labels counts as toxic; an empty table gives no rows; other columns, whatever their names, are passed over.
 """
 
 from __future__ import annotations
