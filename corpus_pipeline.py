@@ -5,7 +5,9 @@ language ID drops documents without a language; the n-gram join keeps the least
 each group; decontamination drops contaminated documents and cuts benchmark passages from
 the others; the secret scan masks live credentials; BPE encodes what is left.
 
-Rows whose texts are null leave in the first stage; extra columns pass through the first four.
+Rows whose texts are null or without a letter leave in the first stage; rows that repeat id and
+text count once from the second on; extra columns of any name pass through the first four; an
+empty table gives no rows.  The folder of the newest stage stays, for the result reads it.
 """
 
 from __future__ import annotations
