@@ -1,7 +1,8 @@
 """Framed binary logs as a source and a sink.
 
 Reading goes through Spark's binaryFile source, so any file system that Spark reads will do;
-a segment is one file and is decoded as a whole by one task.  A record that is short, fails
+a segment is one file and is decoded by one task, record by record; segments are rotated long
+before the 2 GB that this source reads of a file.  A record that is short, fails
 its checksum or is malformed ends its segment: it appears once with ``crc_ok`` false, what
 lies behind it doesn't appear.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from lamina import schema
 
 MAX_COMMAND = 64 << 20
+#: Records of one Arrow batch.
+ROWS = 10_000
 # Magic and version of a replicated log file, then two numbers of a snapshot.
 RAFT_HEADER = (0x5658524C, 1)
 
@@ -57,10 +61,11 @@ def _decoded(files: DataFrame, ddl: str, names: list[str], rows: Callable[[str,
         types = [f.type for f in arrow]
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                out = list(rows(path, content.as_py()))
-                for a in range(0, len(out), 50_000):
-                    part = list(zip(*out[a : a + 50_000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names=names)
+                decoded = rows(path, content.as_py())
+                # records leave as they are decoded; only the segment's bytes are held
+                while part := list(islice(decoded, ROWS)):
+                    columns = zip(*part, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
