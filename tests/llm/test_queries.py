@@ -153,3 +153,33 @@ def test_pipeline_with_repeated_rows_and_clashing_columns(spark, tmp_path):
     kept = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
     kept = [i for i in kept if i not in (6, 7) and not (texts[i] == "tie tie" and texts.index("tie tie") != i)]
     assert [r.doc_id for r in plain] == kept
+
+
+def test_encoding_against_the_library(results, texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(llm.public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    for r in results["op4_bpe"].to_pylist():
+        ids = t.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), H.sha(" ".join(map(str, ids))))
+        assert r["decoded_sha256"] == H.sha(t.decode(ids, skip_special_tokens=False))
+
+
+def test_neighbours_against_brute_force(results, duck):
+    import numpy as np
+
+    ids, x = zip(*duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall(), strict=True)
+    x, hits, n = np.array(x, np.float64), 0, 0
+    got = {}
+    for r in results["op9_nearest"].to_pylist():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    assert sorted(got) == [i for i in ids if i % 20 == 0]
+    for q, found in got.items():
+        s = x @ x[ids.index(q)]
+        s[ids.index(q)] = -np.inf
+        best = {ids[i] for i in np.lexsort((np.array(ids), -s))[:20]}
+        hits, n = hits + len(best & set(found)), n + 20
+        assert all(abs(found[v] - s[ids.index(v)]) < 1e-9 for v in found)
+    assert hits >= 0.9 * n
