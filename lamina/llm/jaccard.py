@@ -8,9 +8,10 @@ each map task links the sets with an equal head by a star and posts each head on
 owners of all tasks meet in stars again; no posting list is ever collected and no pairs are
 emitted.  The components of the stars are families; linked sets are in one family.  (Single
 prefix tokens instead of heads join a corpus into one family: common shingles percolate.)
-Tokens that a count sketch over the whole corpus finds common are left out of the heads, for
-what differs in few tokens differs in few rare ones; sets with too few rare tokens to fill
-their heads post heads of all tokens besides.
+Tokens that a count sketch over the whole corpus, which grows with it, finds common are left
+out of the heads, for what differs in few tokens differs in few rare ones; sets with too few
+rare tokens to fill their heads post the rare ones of a prefix besides, and heads of all tokens
+only where a prefix isn't rare throughout.
 
 Within a family the exact token counts give further global orders.  A candidate must share a
 prefix token under each of them, the filters are intersected, and only then is a pair
@@ -43,15 +44,15 @@ from lamina.llm.decontam import ranges
 PERCENT, WORDS, BLOCK = 90, 3, 2048
 #: Heads beyond the pigeonhole's need, which may be empty without being posted: so many, and half as many again as a class's smallest set is likely to leave empty.
 SPARE = 2
-#: Cells of the count sketch (so many bits reach the driver), and its slices.
-CELLS, SLICES = 1 << 20, 16
+#: Cells of the count sketch (so many bits reach the driver), the least and the most as powers of two, for so many tokens each; cells of a slice of it.
+CELLS, CELL_TOKENS, SLICE = (20, 25), 16, 1 << 16
 #: Rows without texts that may be broadcast.
 BROADCAST = 100_000
 #: Tokens of one block of a family.
 BLOCK_TOKENS = 1 << 21
 _POST = 1_000_000
 _NULL_ID = 1 << 62
-_ROWS, _ROW_SHIFT = 1 << 12, np.uint64(52)
+_ROWS, _ROW_SHIFT, _NAME_SHIFT = 1 << 12, np.uint64(52), np.uint64(16)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,44 +136,54 @@ def least_size(percent: int) -> int:
     return -(-percent // (100 - percent)) if percent < 100 else 1 << 60
 
 
-def cells(token: np.ndarray) -> np.ndarray:
-    return (tk.mix(token ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+def sketch_size(tokens: int) -> int:
+    """Cells for so many tokens, as a power of two: with a fixed number, what the sketch takes for rare would grow with the corpus."""
+    return min(max((tokens // CELL_TOKENS).bit_length(), CELLS[0]), CELLS[1])
 
 
-def common_cells(texts: DataFrame, k: int) -> np.ndarray:
-    """Cells that count far more sets than most do, as packed bits; all texts are counted."""
+def cells(token: np.ndarray, log: int) -> np.ndarray:
+    return (tk.mix(token ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - log)).astype(np.uint32)
+
+
+def common_cells(texts: DataFrame, k: int, log: int) -> np.ndarray:
+    """Cells (``1 << log`` of them) that count far more sets than most do, as packed bits; all texts are counted."""
+    slices = (1 << log) // SLICE
 
     @tk.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(1 << log, np.uint16)
         for batch in batches:
             for _, _, d, o in small_chunks(*tk.buffers(batch.column(0))):
-                total += np.bincount(cells(shingles(d, o, k)[0]), minlength=CELLS)
-        part = CELLS // SLICES
-        packed = [zlib.compress(np.minimum(total[i * part : (i + 1) * part], (1 << 32) - 1).astype(np.uint32).tobytes(), 1) for i in range(SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "counts"])
+                cell = np.sort(cells(shingles(d, o, k)[0], log))
+                first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
+                here = cell[first]
+                total[here] = np.minimum(total[here] + np.diff(np.append(first, len(cell))), 65535)
+        for i in range(slices):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(total[i * SLICE : (i + 1) * SLICE].tobytes(), 1)], pa.binary())], names=["slice", "counts"])
 
     @tk.tidy
     def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS // SLICES, np.uint64)
+        total = np.zeros(SLICE, np.uint64)
         for batch in parts:
             for c in batch.column("counts"):
-                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+                total += np.frombuffer(zlib.decompress(c.as_py()), np.uint16)
         usual = float(np.median(total))
         bits = np.packbits(total > usual + 6 * usual**0.5 + 8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slice", "bits"])
 
     found = {r.slice: r.bits for r in texts.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()}
-    none = bytes(CELLS // SLICES // 8)
-    return np.frombuffer(b"".join(found.get(i, none) for i in range(SLICES)), np.uint8)
+    none = bytes(SLICE // 8)
+    return np.frombuffer(b"".join(found.get(i, none) for i in range(slices)), np.uint8)
 
 
 def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of the heads of each set under the orders of its own class and the class before.
 
     With ``rare``, heads are of the tokens that it marks; sets that have more empty ones than
-    are to spare post heads of all tokens, too.  Of two linked sets, either one has not, and
-    both share a rare head that isn't empty, or both post all.
+    are to spare post rare tokens of their prefix (by hash), too, and those with fewer rare
+    tokens than a prefix has, heads of all tokens.  Of two linked sets, either one has not too
+    many empty heads, and both share a rare one that isn't; or both post prefixes, and they
+    share a token if either one's is all rare; or both post all.
     """
     size = np.diff(begin)
     if not len(token):
@@ -182,6 +193,8 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray |
     own = np.searchsorted(first, size, "right") - 1
     keys, rows = [], []
     hashed = tk.mix(token)
+    prefix, of_row = prefix_length(size, percent), np.repeat(np.arange(len(size)), size)
+    few = np.bincount(of_row[rare], minlength=len(size)) < prefix
     for back in (0, 1):
         c = own - back
         m = np.where((size > 0) & (c >= 0), orders[np.maximum(c, 0)], 0)
@@ -209,6 +222,15 @@ def heads(token: np.ndarray, begin: np.ndarray, percent: int, rare: np.ndarray |
                 post, lacking = filled > 0, empty > to_spare
             keys.append(tk.mix(head + named + np.uint64(only is None))[post])
             rows.append(owner[post])
+            if only is not None:
+                single = np.flatnonzero(rare & (lacking & (m > 0))[of_row])
+                single = single[np.lexsort((hashed[single], of_row[single]))]
+                mine = of_row[single]
+                single = single[np.arange(len(mine)) - np.searchsorted(mine, mine) < prefix[mine]]
+                mine = of_row[single]
+                keys.append(tk.mix(hashed[single] + tk.mix(np.maximum(c, 0)[mine].astype(np.uint64) + np.uint64(0x9FB21C651E98DF25))))
+                rows.append(mine)
+                lacking &= few
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -267,18 +289,33 @@ def _stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.unique(pairs, axis=1) if pairs.shape[1] else pairs, key[new], least
 
 
-def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) between first signature halves of sets with an equal head under some order."""
-    shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
-    least = least_size(percent)
-    common = docs.sparkSession.sparkContext.broadcast(common_cells(docs, k))
+def _posts(key: np.ndarray, owner: np.ndarray, bits: int) -> bytes:
+    """Keys, of which the first ``bits`` are known, and owners, in six bytes each."""
+    key = (key << np.uint64(bits)) >> np.uint64(16)
+    return np.stack([key, owner.view(np.uint64)]).astype("<u8").view(np.uint8).reshape(2, -1, 8)[:, :, :6].tobytes()
+
+
+def _posted(body: bytes) -> np.ndarray:
+    """The two rows that ``_posts`` has packed."""
+    six = np.frombuffer(body, np.uint8).reshape(2, -1, 6)
+    wide = np.zeros((2, six.shape[1], 8), np.uint8)
+    wide[:, :, :6] = six
+    return wide.view("<i8")[:, :, 0]
+
+
+def family_edges(docs: DataFrame, buckets: int, k: int, percent: int, tokens: int) -> DataFrame:
+    """Edges (a, b) between sets with an equal head under some order, named by 48 bits of their signatures (``family_name``)."""
+    bits = max(1, (buckets - 1).bit_length())
+    shift = np.uint64(64 - bits)
+    least, log = least_size(percent), sketch_size(tokens)
+    common = docs.sparkSession.sparkContext.broadcast(common_cells(docs, k, log))
 
     def emit(key: np.ndarray, owner: np.ndarray) -> pa.RecordBatch:
         edges, key, owner = _stars(key, owner)
         # keys are hashes in order, so a bucket's keys lie together
         bucket = (key >> shift).astype(np.int64)
         cut = np.flatnonzero(np.diff(np.concatenate([[-1], bucket, [-1]]))).tolist()
-        packed = [np.stack([key[a:b].view(np.int64), owner[a:b]]).tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        packed = [_posts(key[a:b], owner[a:b], bits) for a, b in zip(cut, cut[1:], strict=False)]
         # local edges go out in pieces under buckets of their own
         edges = np.stack(graph.star(edges[0], edges[1]))
         mine = [edges[:, a : a + 65536].tobytes() for a in range(0, edges.shape[1], 65536)]
@@ -288,12 +325,12 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, owners, held = [], [], 0
-        bits = common.value
+        marked = common.value
         for batch in batches:
             data, off = tk.buffers(batch.column(1))
             for _, _, d, o in small_chunks(data, off):
                 token, begin = shingles(d, o, k)
-                mine = signatures(token, begin)[0]
+                mine = (signatures(token, begin)[0].view(np.uint64) >> _NAME_SHIFT).view(np.int64)
                 # sets that this task has posted are left out
                 fresh = np.zeros(len(mine), bool)
                 for i, x in enumerate(mine.tolist()):
@@ -303,8 +340,8 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
                 size = np.diff(begin)
                 token = token[np.repeat(fresh, size)]
                 mine, size = mine[fresh], size[fresh]
-                cell = cells(token)
-                rare = (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
+                cell = cells(token, log)
+                rare = (marked[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 0
                 key, row = heads(token, np.concatenate([[0], np.cumsum(size)]), percent, rare)
                 keys.append(key)
                 owners.append(mine[row])
@@ -322,10 +359,10 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFra
         key, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
         found: list[np.ndarray] = []
         for batch in parts:
-            bodies = [np.frombuffer(b.as_py(), np.int64).reshape(2, -1) for b in batch.column("body")]
             if bucket[0].as_py() < 0:
-                found += bodies
+                found += [np.frombuffer(b.as_py(), np.int64).reshape(2, -1) for b in batch.column("body")]
                 continue
+            bodies = [_posted(b.as_py()) for b in batch.column("body")]
             edges, key, owner = _stars(np.concatenate([key, *(b[0] for b in bodies)]), np.concatenate([owner, *(b[1] for b in bodies)]))
             if edges.shape[1]:
                 found.append(edges)
@@ -497,14 +534,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     n_rows, total = rows.agg(F.count("*"), F.sum("n")).first()
     total = total or 0
     buckets = min(1 << 20, max(32, int(total * 4 * (100 - percent) / 100 / _POST)))
-    edges = family_edges(texts, buckets, words, percent)
+    edges = family_edges(texts, buckets, words, percent, total)
     family = graph.components(edges, stars=True)
     family = family.union(family.select("root", "root").distinct())
-    members = tk.materialize(nodes.join(family.withColumnRenamed("node", "s1"), "s1").withColumnRenamed("root", "family").drop("copies"))
+    named = nodes.withColumn("name", F.shiftrightunsigned("s1", int(_NAME_SHIFT)))
+    members = tk.materialize(named.join(family.select(F.col("node").alias("name"), F.col("root").alias("family")), "name").drop("name", "copies"))
     blocks = tk.materialize(members.groupBy("family").agg(_blocks(F.lit(True), block).alias("blocks"), F.count("*").alias("size")).where("size > 1"))
     members = tk.materialize(tk.join_hot(members, blocks, ["family"], "size", members.count()))
+    # only texts of members are packed and shuffled
+    wanted, _ = tk.sift(texts, F.col("doc_id"), members.select("doc_id"))
     members = tk.small(members, BROADCAST)
-    with_text = members.join(pack(texts).withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "n", "s1", "s2", "text")
+    with_text = members.join(pack(wanted).withColumnRenamed("doc_id", "d"), members["doc_id"].eqNullSafe(F.col("d"))).select("family", "blocks", "node", "n", "s1", "s2", "text")
     with_text = tk.materialize(with_text)
     zero = F.lit(0)
     spread = with_text.where("blocks = 1").select("family", zero.alias("i"), zero.alias("j"), "blocks", zero.alias("block"), "node", "s1", "s2", "text")
@@ -532,8 +572,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = tk.materialize(join(docs, id_col, text_col, words, percent))
     gone, = tk.unused(docs, "gone")
-    dropped = found.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
-    kept = docs.join(dropped, F.col(id_col).cast("bigint") == F.col(gone), "left_anti")
+    dropped = tk.materialize(found.where("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct())
+    # rows that the filter passes are few, and only they are shuffled
+    maybe, others = tk.sift(docs, F.col(id_col).cast("bigint"), dropped)
+    kept = others.unionByName(maybe.join(dropped, F.col(id_col).cast("bigint") == F.col(gone), "left_anti"))
     # rows that repeat id and text are copies of each other, too
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(gone))
     if again.isEmpty():

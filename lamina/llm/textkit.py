@@ -13,13 +13,15 @@ from functools import cache, lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 #: Keys of so many rows are broadcast in joins; there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1000, 1000
+#: Bits of a filter of ids for each of them, and at most.
+ID_BITS, MOST_BITS = 16, 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -194,6 +196,24 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def sift(rows: DataFrame, col: Column, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``col`` may be one of ``ids`` (one column; should be checkpointed), and the others.
+
+    The former are all that have one of the ids (nulls, too) and about one other in ID_BITS.  The
+    hashed bits are broadcast; there are at most MOST_BITS, beyond which more others pass.
+    """
+    n = min(max(ID_BITS * ids.count(), 1 << 16), MOST_BITS)
+    slot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(n))
+    has, piece, bits = unused(rows, "has", "piece", "bits")
+    marks = materialize(ids.groupBy(F.bitmap_bucket_number(slot).alias(piece)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits)))
+    own = F.pmod(F.xxhash64(col), F.lit(n))
+    at = F.bitmap_bit_position(own).cast("int")
+    byte = F.conv(F.hex(F.call_function("substring", F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    mark = F.coalesce(F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    told = rows.join(F.broadcast(marks), F.bitmap_bucket_number(own) == F.col(piece), "left").withColumn(has, mark).drop(piece, bits)
+    return told.where(has).drop(has), told.where(~F.col(has)).drop(has)
+
+
 def join_hot(rows: DataFrame, per: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``per``, which has one row for each key and, as ``weight``, how many of all ``total`` rows have it.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lamina.llm import ann, bpe, decontam, graph, jaccard, langid, licenses, pii, sadedup, secrets, suffixes, toxicity
+from lamina.llm import textkit as tk
 from lamina.llm.queries import fold
 from tests.llm import helpers as H
 
@@ -168,6 +169,58 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def boilerplate_corpus(rnd):
+    """Sets of common lines with few or many words of their own, and near copies of some."""
+    lines = [" ".join(f"line{k}word{i}" for i in range(9)) for k in range(12)]
+    texts = []
+    for g in range(150):
+        w = " ".join(rnd.sample(lines, rnd.randrange(1, 8))).split() + [f"own{g}x{i}" for i in range(rnd.choice([0, 1, 3, 8, 25]))]
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            v = list(w)
+            for _ in range(rnd.randrange(0, 3)):
+                v[rnd.randrange(len(v))] = f"edit{rnd.randrange(999)}"
+            texts.append(" ".join(v))
+    return texts
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_near_duplicates_of_common_lines(spark, words, percent):
+    texts = boilerplate_corpus(random.Random(words))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(H.docs(spark, texts).repartition(5), words=words, percent=percent).collect()}
+    assert got == H.components(list(enumerate(texts)), percent, words)
+
+
+def edges_of(monkeypatch, df):
+    """How many edges reach the components in a join of ``df``, and how many different ones."""
+    seen, settle = [], graph.components
+    monkeypatch.setattr(jaccard.graph, "components", lambda e, **k: (seen.append((e.count(), e.distinct().count())), settle(e, **k))[1])
+    jaccard.join(df, words=5, percent=80).count()
+    return seen[0]
+
+
+def test_a_common_line_makes_no_family(spark, monkeypatch):
+    line = "This work is licensed under the General Public License and all that goes with it."
+    texts = [f"{line} " + " ".join(f"w{i}x{j}" for j in range(27)) for i in range(400)]
+    assert edges_of(monkeypatch, H.docs(spark, texts).repartition(4))[1] == 0
+
+
+def test_only_texts_of_families_are_packed(spark, monkeypatch):
+    packed, pack = [], jaccard.pack
+    monkeypatch.setattr(jaccard, "pack", lambda texts: (packed.append(texts.count()), pack(texts))[1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(200)]
+    assert jaccard.join(H.docs(spark, texts + [t + " more" for t in texts[:5]])).where("component_id != doc_id").count() == 5
+    assert 10 <= packed[0] <= 60
+
+
+def test_sift_loses_no_id(spark):
+    ids = tk.materialize(spark.range(0, 7000, 7).toDF("x").union(spark.sql("SELECT CAST(NULL AS BIGINT)")))
+    rows = spark.range(0, 9000).selectExpr("id", "'t' AS has").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'n'"))
+    some, others = tk.sift(rows, F.col("id"), ids)
+    assert some.columns == others.columns == rows.columns and some.count() + others.count() == 9001
+    assert some.where("id IS NULL OR (id < 7000 AND id % 7 = 0)").count() == 1001 and some.count() < 3000
+    assert tk.sift(rows, F.col("id"), ids.limit(0))[0].isEmpty()
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(150)]
