@@ -355,23 +355,40 @@ def family_edges(docs: DataFrame, buckets: int, k: int, percent: int, tokens: in
             yield emit(np.concatenate(keys), np.concatenate(owners))
 
     @tk.tidy
-    def meet(bucket: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, owner = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        found: list[np.ndarray] = []
-        for batch in parts:
-            if bucket[0].as_py() < 0:
-                found += [np.frombuffer(b.as_py(), np.int64).reshape(2, -1) for b in batch.column("body")]
-                continue
-            bodies = [_posted(b.as_py()) for b in batch.column("body")]
-            edges, key, owner = _stars(np.concatenate([key, *(b[0] for b in bodies)]), np.concatenate([owner, *(b[1] for b in bodies)]))
-            if edges.shape[1]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # two sets with many equal heads meet in many buckets; a task's buckets are merged before edges leave it
+        at, key, owner = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found, held = [np.zeros((2, 0), np.int64)], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = found[0]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            bucket = batch.column("bucket").to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])[: len(bucket) + 1]).tolist()
+            for x, y in zip(cut, cut[1:], strict=False):
+                raw = [b.as_py() for b in batch.column("body")[x:y]]
+                if bucket[x] < 0:
+                    edges = np.concatenate([np.frombuffer(b, np.int64).reshape(2, -1) for b in raw], 1)
+                else:
+                    if at != bucket[x]:
+                        at, key, owner = bucket[x], key[:0], owner[:0]
+                    posts = np.concatenate([np.stack([key, owner]), *map(_posted, raw)], 1)
+                    edges, key, owner = _stars(posts[0], posts[1])
                 found.append(edges)
-        if found:
-            e = np.concatenate(found, 1)
-            a, b = graph.star(e[0], e[1])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held += edges.shape[1]
+                if held >= _POST:
+                    e = np.concatenate(found, 1)
+                    found, held = [np.stack(graph.star(e[0], e[1]))], 0
+                    if found[0].shape[1] > 2 * _POST:  # they don't shrink: hand them on
+                        yield out()
+                        found = [found[0][:, :0]]
+        e = np.concatenate(found, 1)
+        found = [np.stack(graph.star(e[0], e[1]))]
+        yield out()
 
-    return docs.mapInArrow(run, "bucket bigint, body binary").groupBy("bucket").applyInArrow(meet, graph.EDGES)
+    return docs.mapInArrow(run, "bucket bigint, body binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, graph.EDGES)
 
 
 def link_family(sets: list[np.ndarray], part: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:

@@ -204,6 +204,16 @@ def test_a_common_line_makes_no_family(spark, monkeypatch):
     assert edges_of(monkeypatch, H.docs(spark, texts).repartition(4))[1] == 0
 
 
+def test_copies_that_share_many_heads_are_few_edges(spark, monkeypatch):
+    texts = []
+    for i in range(100):
+        w = [f"w{i}x{j}" for j in range(300)]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"])]
+    # the copies lie in different tasks, so they meet in many buckets
+    made, _ = edges_of(monkeypatch, H.docs(spark, texts).repartitionByRange(2, F.col("doc_id") % 2))
+    assert 100 <= made <= 100 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_only_texts_of_families_are_packed(spark, monkeypatch):
     packed, pack = [], jaccard.pack
     monkeypatch.setattr(jaccard, "pack", lambda texts: (packed.append(texts.count()), pack(texts))[1])
