@@ -141,7 +141,10 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Fit on a bounded sample of the rows for which ``learn`` holds and the label is known."""
     labelled = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = [(t, x) for t, x, _ in sample(labelled, lang_col, rows, text_col, id_col, FIT_BYTES) if any(c.isalpha() for c in t)]
-    return fit([t for t, _ in found], [x for _, x in found])
+    model = fit([t for t, _ in found], [x for _, x in found])
+    del found
+    tk.release()  # the driver lives on
+    return model
 
 
 def predictor(docs: DataFrame, model: Model | None, text_at: int, finish):

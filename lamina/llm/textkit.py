@@ -136,16 +136,18 @@ def own_keys(names: np.ndarray, n: int, keys: int) -> list[int]:
     return [-1 - (first + i) % keys for i in range(n)]
 
 
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable) -> Callable:
     """An Arrow function that gives free memory back at its end: Python workers serve many tasks."""
 
-    def release() -> None:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
-
     # Spark counts the parameters, so each form keeps its own
     @wraps(run)
     def over_batches(batches):

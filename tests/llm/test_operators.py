@@ -535,6 +535,21 @@ def test_components_of_a_hub(spark):
     assert got == {10: 3, 8: 7, 9: 7} | {5000 + i: 3 for i in range(3000)}
 
 
+def test_few_edges_need_no_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(9001, 9000), (9000, 9002), (7, 7)], graph.EDGES)
+    sc = spark.sparkContext
+    sc.setJobGroup("few edges", "few edges")
+    try:
+        got = sorted(graph.components(edges, stars=True).collect())
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few edges"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 10 and got == [*((i, 0) for i in range(1, 301)), (9001, 9000), (9002, 9000)]
+    # larger graphs go through the rounds, with the same result
+    monkeypatch.setattr(graph, "AT_ONCE", 0)
+    assert sorted(graph.components(edges, stars=True).collect()) == got
+
+
 def test_repositories_and_owners_decide(spark):
     value = "Zk39xLq8Tt71mMvV"
     few = [(i, f'password = "{value}"', "o1", f"l{i}") for i in range(4)]
