@@ -202,6 +202,46 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
     return texts.select("text", "h1").mapInArrow(run, "bucket bigint, body binary").groupBy("bucket").applyInArrow(meet, "h1 bigint, lo bigint")
 
 
+def _copies(at: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int, int]]:
+    """(h1, a, b), as ``covered`` has them, of equal pieces of ``length`` bytes at several places (h1, start)."""
+    if len(at) < 2:
+        return []
+    # windows that the piece holds whole; the first piece of each text tells of the others' texts
+    found = [(h, lo, lo + length) for h, lo in at if length >= size]
+    texts = {h for h, _ in at}
+    return found + [(h, -1, -1) for h in texts if len(texts) > 1]
+
+
+def _marks(pieces: dict[tuple[int, int], tuple[int, bytes]], size: int, short: int) -> np.ndarray:
+    """h1, a and b, as ``covered`` has them, of a shard's pieces: (h1, start) and their windows and bytes."""
+    # pieces that several tasks have sent are one in the suffix array, as those of one task are
+    alike: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for at, piece in pieces.items():
+        alike.setdefault(piece, []).append(at)
+    direct = [d for (_, p), v in alike.items() for d in _copies(v, len(p), size)]
+    size_of = np.array([len(p) for _, p in alike], np.int64)
+    windows = np.array([w for w, _ in alike], np.int64)
+    at = np.cumsum(size_of + 1) - size_of - 1
+    t = np.full(int(size_of.sum()) + len(alike) + 1, suffixes.GAP, np.int16)
+    t[-1] = suffixes.END
+    t[ranges(at, size_of)] = np.frombuffer(b"".join(p for _, p in alike), np.uint8).astype(np.int16) + suffixes.SHIFT
+    names = np.array([v[0][0] for v in alike.values()], np.int64)
+    los = np.array([v[0][1] for v in alike.values()], np.int64)
+    del alike
+    # the bytes behind a piece's last window are windows of other pieces
+    start = np.full(len(t), -1, np.int64)
+    start[ranges(at, windows)] = np.repeat(np.unique(names, return_inverse=True)[1], windows)
+    long, across = suffixes.repeats(t, start, size, short)
+    edge = np.diff(np.concatenate([[0], long.astype(np.int8), [0]]))
+    first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
+    piece = np.searchsorted(at, first, "right") - 1
+    shift = los[piece] - at[piece]
+    told = np.unique(names[np.searchsorted(at, np.flatnonzero(across), "right") - 1])
+    none = np.full(len(told), -1, np.int64)
+    found = np.stack([np.concatenate([names[piece], told]), np.concatenate([first + shift, none]), np.concatenate([last + shift + size, none])])
+    return np.concatenate([found, np.array(direct, np.int64).reshape(-1, 3).T], 1)
+
+
 def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short: int, k: int) -> DataFrame:
     """(h1, a, b) of byte ranges whose windows of ``size`` bytes repeat; a range with b = -1 tells that a string of ``short`` bytes is in another text, too.
 
@@ -220,11 +260,7 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short
                 once.setdefault((p[3], hashlib.blake2b(p[4], digest_size=16).digest()), []).append(i)
             direct = []
             for v in once.values():
-                if len(v) > 1:
-                    # windows that the piece holds whole; the first piece of each text tells of the others' texts
-                    direct += [(held[i][1], held[i][2], held[i][2] + len(held[i][4])) for i in v if len(held[i][4]) >= size]
-                    if len(texts := {held[i][1] for i in v}) > 1:
-                        direct += [(t, -1, -1) for t in texts]
+                direct += _copies([held[i][1:3] for i in v], len(held[v[0]][4]), size)
             by: dict[int, list[int]] = {}
             for v in once.values():
                 by.setdefault(held[v[0]][0], []).append(v[0])
@@ -277,28 +313,8 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short
                 for h, lo, w, n in zip(texts, los, windows, sizes, strict=True):
                     pieces[h, lo] = w, joined[at : at + n]
                     at += n
-        if not pieces:
-            return
-        size_of = np.array([len(p) for _, p in pieces.values()], np.int64)
-        windows = np.array([w for w, _ in pieces.values()], np.int64)
-        at = np.cumsum(size_of + 1) - size_of - 1
-        t = np.full(int(size_of.sum()) + len(pieces) + 1, suffixes.GAP, np.int16)
-        t[-1] = suffixes.END
-        t[ranges(at, size_of)] = np.frombuffer(b"".join(p for _, p in pieces.values()), np.uint8).astype(np.int16) + suffixes.SHIFT
-        names = np.array([h for h, _ in pieces], np.int64)
-        los = np.array([lo for _, lo in pieces], np.int64)
-        del pieces
-        # the bytes behind a piece's last window are windows of other pieces
-        start = np.full(len(t), -1, np.int64)
-        start[ranges(at, windows)] = np.repeat(np.unique(names, return_inverse=True)[1], windows)
-        long, across = suffixes.repeats(t, start, size, short)
-        edge = np.diff(np.concatenate([[0], long.astype(np.int8), [0]]))
-        first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
-        piece = np.searchsorted(at, first, "right") - 1
-        shift = los[piece] - at[piece]
-        told = np.unique(names[np.searchsorted(at, np.flatnonzero(across), "right") - 1])
-        none = np.full(len(told), -1, np.int64)
-        yield out(np.concatenate([names[piece], told]), np.concatenate([first + shift, none]), np.concatenate([last + shift + size, none]))
+        if pieces:
+            yield out(*_marks(pieces, size, short))
 
     return chosen.select("h1", "text", "los").mapInArrow(run, "shard bigint, body binary").groupBy("shard").applyInArrow(search, "h1 bigint, a bigint, b bigint")
 

@@ -89,20 +89,17 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) ->
 
 
 def _ranked(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a sequence of names in order, by ranks of prefixes that grow threefold."""
+    """Suffixes of a sequence of names in order, by ranks of prefixes that grow by as many as a key of 63 bits holds."""
     n = len(names)
     rank, k = names.astype(np.int64) + 1, 1
     while True:
-        if n < (1 << 21) - 2:
-            key = rank << 42
-            key[: n - k] |= rank[k:] << 21
-            if 2 * k < n:
-                key[: n - 2 * k] |= rank[2 * k :]
-            k *= 3
-        else:
-            key = rank << 32
-            key[: n - k] |= rank[k:]
-            k *= 2
+        bits = int(rank.max()).bit_length()
+        times = max(2, 63 // bits)
+        key = np.zeros(n, np.int64)
+        for i in range(times):
+            key <<= bits
+            key[: max(0, n - i * k)] |= rank[i * k :]
+        k *= times
         order = np.argsort(key)
         key = key[order]
         step = np.ones(n, np.int64)
@@ -146,69 +143,68 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, ordered.astype(np.int32), symbols)
 
 
-def repeats(t: np.ndarray, owner: np.ndarray, size: int, short: int, lanes: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+def repeats(t: np.ndarray, owner: np.ndarray, size: int, short: int, lanes: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
     """Where a string of ``size`` symbols without GAP starts that also starts somewhere else; where one of ``short`` symbols starts that another owner has.
 
-    ``owner`` is -1 where nothing counts as a start.  The common prefix of each suffix with its
-    neighbour in order is found in text order (permuted), so it shrinks by at most one from a
-    position to the next; many stretches of the text advance side by side.
+    ``owner`` is -1 where nothing counts as a start.  The common prefix of each start with the
+    start before it in order is found in text order (permuted), so it shrinks by at most one from
+    a start to the next one as long as the other's right neighbour is a start, too; many such
+    stretches of the text advance side by side.  Prefixes are compared as far as they matter.
     """
-    n = len(t)
+    n, most = len(t), max(size, short)
     sa = suffix_array(t)
-    before = np.full(n, -1, np.int32)
-    before[sa[1:]] = sa[:-1]
-    pad = np.concatenate([t, np.full(16, END, t.dtype)])
-    words = np.zeros(n + 8, np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | (pad[k : k + n + 8].astype(np.uint64) & np.uint64(255))
-    # bytes 254 and 255 would look like GAP and END after the shift: those words are never skipped over
-    special = (pad < SHIFT) | (pad > 255)
-    stops = np.cumsum(np.concatenate([[0], special.astype(np.int32)]))
-    plain = stops[8 : n + 16] == stops[: n + 8]
-    plcp = np.zeros(n, np.int32)
-    stretch = -(-n // lanes)
-    at = np.arange(0, n, stretch)
-    end = np.minimum(at + stretch, n)
+    counts = np.append(owner >= 0, False)
+    order = sa[counts[sa]]
+    start = np.flatnonzero(counts)
+    m = len(start)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    other = before[start]
+    stops = np.flatnonzero(t < SHIFT)
+    room = lambda at: stops[np.searchsorted(stops, at)] - at
+    limit = np.where(other >= 0, np.minimum(np.minimum(room(start), room(np.maximum(other, 0))), most), 0)
+    # symbols beyond a limit are never told apart, so bytes do
+    raw = np.concatenate([(t - SHIFT).astype(np.uint8), np.zeros(8, np.uint8)])
+    words = np.ndarray((n + 1,), "<u8", raw, 0, (1,)).copy()
+    fresh = np.ones(m, bool)
+    fresh[1:] = (start[1:] != start[:-1] + 1) | (other[:-1] < 0) | ~counts[other[:-1] + 1]
+    run = np.flatnonzero(fresh)
+    at = np.flatnonzero(fresh | ((np.arange(m) - np.repeat(run, np.diff(np.append(run, m)))) % -(-n // lanes) == 0))
+    end = np.append(at[1:], m)
+    common = np.zeros(m, np.int64)
     h = np.zeros(len(at), np.int64)
     while len(at):
-        np.maximum(h - 1, 0, out=h)
-        q = before[at].astype(np.int64)
-        go = np.flatnonzero(q >= 0)
-        h[q < 0] = 0
-        a, b = at[go], q[go]
-        g = h[go]
-        live = np.arange(len(go))
-        while len(live):  # by words
-            x, y = a[live] + g[live], b[live] + g[live]
-            ok = (x < n) & (y < n)
-            live, x, y = live[ok], x[ok], y[ok]
-            live = live[(words[x] == words[y]) & plain[x] & plain[y]]
-            g[live] += 8
-        live = np.arange(len(go))
-        while len(live):  # by symbols
-            x, y = a[live] + g[live], b[live] + g[live]
-            live = live[(pad[x] == pad[y]) & (pad[x] >= SHIFT)]
-            g[live] += 1
-        h[go] = g
-        plcp[at] = h
+        a, b, far = start[at], other[at], limit[at]
+        h = np.minimum(np.maximum(h - 1, 0), far)
+        live = np.flatnonzero(h < far)
+        while len(live):
+            x = words[a[live] + h[live]] ^ words[b[live] + h[live]]
+            differs = x != 0
+            x = x[differs]
+            h[live[differs]] += np.log2((x & (~x + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3
+            live = live[~differs]
+            h[live] += 8
+            live = live[h[live] < far[live]]
+        np.minimum(h, far, out=h)
+        common[at] = h
         at = at + 1
         keep = at < end
         at, end, h = at[keep], end[keep], h[keep]
-    # runs of suffixes in order that share so many symbols
-    common, who = plcp[sa], owner[sa]
-    counts = who >= 0
+    # runs of starts in order that share so many symbols
+    plcp = np.zeros(n, np.int64)
+    plcp[start] = common
+    shares, mine = plcp[order], owner[order]
     out = []
     for length, apart in ((size, False), (short, True)):
-        run = np.cumsum(common < length)[counts] - 1
-        new = np.ones(len(run), bool)
-        new[1:] = run[1:] != run[:-1]
+        new = shares < length
+        new[:1] = True
         head = np.flatnonzero(new)
-        mine, at = who[counts], np.cumsum(new) - 1
+        at = np.cumsum(new) - 1
         if apart:
             several = np.minimum.reduceat(mine, head) != np.maximum.reduceat(mine, head) if len(head) else new
         else:
             several = np.bincount(at, minlength=len(head)) > 1
         marks = np.zeros(n, bool)
-        marks[sa[counts][several[at]]] = True
+        marks[order[several[at]]] = True
         out.append(marks)
     return out[0], out[1]

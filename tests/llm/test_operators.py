@@ -400,6 +400,36 @@ def test_suffix_dedup(spark, size, short, gram):
     assert sadedup.scan(H.docs(spark, texts).limit(0)).count() == 0
 
 
+def test_starts_are_compared_as_all_positions_are():
+    rnd = np.random.default_rng(3)
+    passage = rnd.integers(2, 258, 300)
+    parts = [np.concatenate([rnd.integers(2, 258, rnd.integers(0, 30)), passage[rnd.integers(0, 100) :], rnd.integers(250, 258, 40), [1]]) for _ in range(12)]
+    t = np.append(np.concatenate(parts), 0).astype(np.int16)
+    owner = np.where(rnd.random(len(t)) < 0.3, np.arange(len(t)) // 300, -1)
+    for size, short in ((100, 60), (37, 37), (8, 3)):
+        for lanes in (1, 50, 1 << 12):
+            for got, length, apart in zip(suffixes.repeats(t, owner, size, short, lanes), (size, short), (False, True), strict=True):
+                seen = {}
+                for i in np.flatnonzero(owner >= 0).tolist():
+                    if i + length <= len(t) and (t[i : i + length] >= 2).all():
+                        seen.setdefault(t[i : i + length].tobytes(), []).append(i)
+                assert np.flatnonzero(got).tolist() == sorted(i for v in seen.values() for i in v if (len({owner[j] for j in v}) if apart else len(v)) > 1)
+
+
+def test_equal_pieces_are_once_in_the_suffix_array(monkeypatch):
+    rnd = random.Random(9)
+    p = prose(rnd, 12).encode()
+    pieces = {(h, 7 * h): (10, p) for h in range(1, 6)} | {(9, 0): (10, p[:-1] + b"!"), (10, 3): (2, b"another piece of bytes"), (11, 1): (2, b"short"), (11, 90): (2, b"short")}
+    lengths, repeats = [], suffixes.repeats
+    monkeypatch.setattr(suffixes, "repeats", lambda t, *a: (lengths.append(len(t)), repeats(t, *a))[1])
+    h, a, b = sadedup._marks(pieces, 30, 20)
+    assert lengths == [sum(len(x) + 1 for x in {x for _, x in pieces.values()}) + 1]
+    told = {x for x, y in zip(h.tolist(), b.tolist(), strict=True) if y < 0}
+    cover = {k: {i for x, y, z in zip(h.tolist(), a.tolist(), b.tolist(), strict=True) if x == k and z >= 0 for i in range(y, z)} for k in (*range(1, 6), 9, 10, 11)}
+    assert told == {1, 2, 3, 4, 5, 9}
+    assert all(cover[k] == set(range(7 * k, 7 * k + len(p))) for k in range(1, 6)) and cover[9] == set(range(39)) and not cover[10] | cover[11]
+
+
 def test_suffix_dedup_of_repeated_rows(spark):
     t = prose(random.Random(8), 80)
     n = len(t.encode())
