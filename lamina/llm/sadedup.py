@@ -42,6 +42,8 @@ CELLS, SLICES = 1 << 20, 16
 #: One k-gram in so many (by hash) is counted and preferred as an anchor.
 EVERY = 16
 SHARD_BYTES = 1_500_000
+#: Bytes of text whose anchors are sought at a time: some twenty arrays of eight bytes each, which fit a core's cache.
+NEAR = 1 << 17
 _POST = 500_000
 
 
@@ -169,7 +171,7 @@ def repeated_anchors(texts: DataFrame, levels: np.ndarray, buckets: int, size: i
                     fresh[i] = True
             data, off = tk.buffers(batch.column(0).filter(pa.array(fresh)))
             names = names[fresh]
-            for a, _, d, o in tk.chunks(data, off):
+            for a, _, d, o in tk.chunks(data, off, NEAR):
                 row, lo, _, key = anchors(d, o, level, size, k)
                 held.append((key, names[a + row], lo - o[row]))
             if sum(len(x[0]) for x in held) > _POST:
@@ -276,7 +278,7 @@ def covered(chosen: DataFrame, levels: np.ndarray, shards: int, size: int, short
         for batch in batches:
             texts, starts = batch.column("h1").to_pylist(), batch.column("los").to_pylist()
             data, off = tk.buffers(batch.column("text"))
-            for a, b, d, o in tk.chunks(data, off):
+            for a, b, d, o in tk.chunks(data, off, NEAR):
                 row, lo, hi, key = anchors(d, o, level, short, k)
                 shard = (tk.mix(key) % np.uint64(shards)).astype(np.int64).tolist()
                 fresh = [texts[i] not in seen for i in range(a, b)]
